@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import simhash
+from foliant.llm import lines, simhash, topk
 from foliant.llm.common import read_table
 
 
@@ -16,8 +16,54 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.drop_common_lines(read_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.col("n_dropped").cast("long").alias("n_dropped"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_topk": op2_topk,
+    "op10_lines": op10_lines,
 }
 
-SQL: dict[str, str] = {}
+#: White space of the word rule, as DuckDB writes it.
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+SQL: dict[str, str] = {
+    "op2_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select q.vec_id as query_id, c.vec_id,
+                cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+            from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+        )
+        select * from (
+            select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+            from s
+        ) where rank <= 5
+    """,
+    "op10_lines": f"""
+        with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+        l as (select doc_id, unnest(parts) as line, generate_subscripts(parts, 1) as pos from d),
+        k as (
+            select *, translate(trim(line, {_SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line_key from l
+        ),
+        common as (select line_key from k where line_key <> '' group by line_key having count(distinct doc_id) >= 10),
+        m as (select k.*, c.line_key is not null as gone from k left join common c using (line_key))
+        select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+        from m group by doc_id
+    """,
+}
