@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import lines, simhash, topk
+from foliant.llm import lines, simhash, substrings, topk
 from foliant.llm.common import read_table
 
 
@@ -20,6 +20,11 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.drop_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.drop_common_lines(read_table(spark, sf_dir, "documents"))
     return rows.select(
@@ -33,6 +38,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
+    "op9_substrings": op9_substrings,
     "op10_lines": op10_lines,
 }
 
@@ -54,6 +60,22 @@ SQL: dict[str, str] = {
             from s
         ) where rank <= 5
     """,
+    "op9_substrings": """
+        with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words from documents),
+        w as (select doc_id, len(words) as n, words, unnest(range(1, len(words) - 18)) as start from d where len(words) >= 20),
+        k as (select doc_id, start, array_to_string(words[start:start + 19], ' ') as words from w),
+        f as (select *, row_number() over (partition by words order by doc_id, start) > 1 as later from k),
+        gone as (select distinct doc_id, unnest(range(start, start + 20)) as pos from f where later),
+        p as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos from d),
+        m as (select p.*, gone.pos is not null as gone from p left join gone using (doc_id, pos)),
+        r as (
+            select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed,
+                string_agg(word, ' ' order by pos) filter (not gone) as kept
+            from m group by doc_id
+        )
+        select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from d left join r using (doc_id)
+    """,
     "op10_lines": f"""
         with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
         l as (select doc_id, unnest(parts) as line, generate_subscripts(parts, 1) as pos from d),
