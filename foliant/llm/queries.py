@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import lines, simhash, substrings, topk
+from foliant.llm import lines, packing, simhash, substrings, tokens, topk
 from foliant.llm.common import read_table
 
 
@@ -20,6 +20,22 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packed = packing.pack(read_table(spark, sf_dir, "documents"), path, capacity=1024, end_id=2)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = tokens.encode_texts(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, outputs=False)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substrings.drop_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -38,6 +54,8 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
+    "op6_packing": op6_packing,
+    "op8_bpe": op8_bpe,
     "op9_substrings": op9_substrings,
     "op10_lines": op10_lines,
 }
