@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import lines, packing, simhash, substrings, tokens, topk, toxicity
+from foliant.llm import lines, packing, quality, simhash, substrings, tokens, topk, toxicity
 from foliant.llm.common import read_table
 
 
@@ -20,6 +20,11 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.quality(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,6 +65,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
+    "op4_quality": op4_quality,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
@@ -85,6 +91,42 @@ SQL: dict[str, str] = {
             from s
         ) where rank <= 5
     """,
+    "op4_quality": f"""
+        with d as (
+            select doc_id, coalesce(source, '') as host, coalesce(text, '') as text,
+                list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words
+            from documents
+        ),
+        w as (select doc_id, words[i:i + 2] as gram, i from (select *, unnest(range(1, len(words) - 1)) as i from d where len(words) > 2)),
+        twice as (select doc_id, i, count(*) over (partition by doc_id, gram) as n from w),
+        covered as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from twice where n > 1) group by doc_id),
+        l as (select doc_id, host, unnest(string_split(text, chr(10))) as line from d),
+        k as (
+            select *, translate(trim(line, {_SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line_key
+            from l where trim(line, {_SPACES}) <> ''
+        ),
+        dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines from k group by doc_id),
+        hosts as (select host, count(*) as host_docs from d group by host),
+        common as (
+            select host, line_key from (select host, line_key, count(distinct doc_id) as n from k group by all) join hosts using (host)
+            where n >= 10 and n >= host_docs * 0.005
+        ),
+        lost as (
+            select doc_id, sum(length(line_key)) as chars, coalesce(sum(length(line_key)) filter (c.line_key is not null), 0) as gone
+            from k left join common c using (host, line_key) group by doc_id
+        ),
+        b as (
+            select d.doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+                length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols,
+                coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+                coalesce(chars, 0) as chars, coalesce(gone, 0) as gone
+            from d left join covered using (doc_id) left join dup using (doc_id) left join lost using (doc_id)
+        ),
+        f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            not base_failed and not (gone > 0 and (chars - gone < 0.3 * chars or chars - gone < 200)) as kept
+        from f
+    """,
     "op9_substrings": """
         with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words from documents),
         w as (select doc_id, len(words) as n, words, unnest(range(1, len(words) - 18)) as start from d where len(words) >= 20),

@@ -16,8 +16,8 @@ from foliant.llm.common import as_bytes, small_batches
 SIZES = (3, 4, 5, 6)
 SPACE_BITS = 22
 #: Bounds of the labelled sample that the classifier is fitted on.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
-FEATURES = 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 10_000, 20_000
+FEATURES = 2000
 THRESHOLD = 0.3
 
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -67,6 +67,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
+def descend(loss, w: np.ndarray, steps: int, memory: int = 12) -> np.ndarray:
+    """Minimum of a smooth convex function by limited-memory quasi-Newton steps with backtracking."""
+    value, grad = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        d, held = grad.copy(), []
+        for s, g, k in past[::-1]:
+            held.append(k * (s @ d))
+            d -= held[-1] * g
+        if past:
+            s, g, k = past[-1]
+            d *= 1 / (k * (g @ g))
+        for (s, g, k), a in zip(past, held[::-1], strict=True):
+            d += s * (a - k * (g @ d))
+        slope, step = grad @ d, 1.0 if past else 1 / max(1e-12, float(np.abs(grad).sum()))
+        while True:
+            after, found = loss(w - step * d)
+            if after <= value - 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        s, g = -step * d, found - grad
+        w = w + s
+        small = value - after < 1e-9 * max(1.0, abs(value))
+        value, grad = after, found
+        if s @ g > 1e-14:
+            past = [*past[-memory + 1 :], (s, g, 1 / (s @ g))]
+        if small:
+            break
+    return w
+
+
 def fit(texts: list[bytes], labels: list[int], features: int = FEATURES, alpha: float = 1.0, l2: float = 1e-3, steps: int = 300) -> Model:
     """A logistic classifier over binary n-grams scaled by r = log of their class rates' ratio.
 
@@ -112,19 +143,16 @@ def fit(texts: list[bytes], labels: list[int], features: int = FEATURES, alpha:
         cols.append(pairs & 0xFFFFFFFF)
     row, col = np.concatenate(rows), np.concatenate(cols)
     value = r[col]
-    # accelerated gradient descent on the mean log loss; the step fits the largest row
-    size = np.bincount(row, value * value, len(y))
-    w, before, bias, n = np.zeros(len(chosen)), np.zeros(len(chosen)), float(np.log(pos / neg)), len(y)
-    bias_before = bias
-    rate = 4.0 / (float(np.sort(size)[-max(1, n // 20)]) + 1.0)
-    for k in range(steps):
-        m = k / (k + 3)
-        v, vb = w + m * (w - before), bias + m * (bias - bias_before)
-        z = vb + np.bincount(row, value * v[col], n)
+    n = len(y)
+
+    def loss(w):
+        z = w[-1] + np.bincount(row, value * w[col], n)
         gap = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        grad = np.bincount(col, value * gap[row], len(w)) / n + l2 * v
-        before, bias_before = w, bias
-        w, bias = v - rate * grad, vb - rate * float(gap.mean())
+        grad = np.r_[np.bincount(col, value * gap[row], len(chosen)) / n + l2 * w[:-1], gap.mean()]
+        return float(np.mean(np.logaddexp(0, z) - y * z) + l2 / 2 * (w[:-1] @ w[:-1])), grad
+
+    w = descend(loss, np.r_[np.zeros(len(chosen)), np.log(pos / neg)], steps)
+    w, bias = w[:-1], w[-1]
     return Model(chosen, w * r, float(bias))
 
 
