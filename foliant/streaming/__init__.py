@@ -1 +1 @@
-
+"""Streams of document events."""
