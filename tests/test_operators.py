@@ -125,10 +125,19 @@ def test_lane_is_all_or_nothing(spark):
     for r in lane.resolve_lane(u, c).orderBy("doc_id", "ord").collect():
         got[r.doc_id].append((r.id, r.payload))
         problems[r.doc_id] = r.problem
-    assert got[1] == [("p1", "P1"), ("p2", "P2"), ("c", "C"), ("a", "A"), ("p4", "P4")]
+    assert got[1] == [("p1", "P1"), ("p2", "P2"), ("c", "C"), ("p4", "P4"), ("a", "A")]
     assert got[2] == [("a", "A"), ("b", "B"), ("c", "C")] and problems == {1: None, 2: "modify q2"}
 
 
+def test_siblings_keep_their_order(spark):
+    units = [(1, 0, "a", "A"), (1, 1, "b", "B")]
+    cards = [(1, k, f"p{k}", "add", None, after, f"P{k}", "accepted") for k, after in enumerate(["a", "a", None, "p0", "a", None])]
+    u = spark.createDataFrame(units, "doc_id long, ord long, id string, payload string")
+    c = spark.createDataFrame(cards, "doc_id long, card_ord long, id string, action string, target string, after string, payload string, decision string")
+    got = [r.id for r in lane.resolve_lane(u, c).orderBy("ord").collect()]
+    assert got == ["p2", "p5", "a", "p0", "p1", "p3", "p4", "b"]
+
+
 DOC = """<!DOCTYPE html>
 <html data-aim-version="0.5" lang="en">
 <head>
