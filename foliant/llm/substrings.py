@@ -200,7 +200,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smaller text hash. A null text has no words. Columns pass through, but for the three.
 
     First the anchors of all windows are counted in a sketch that never underestimates. Then
-    windows whose anchor is estimated to repeat are grouped by a 128-bit digest of their
+    windows whose anchor is estimated to repeat are grouped by a 96-bit digest of their
     words, and the first of each group is found; each task sends one row for a window that
     repeats within it, so that no group is larger than the number of tasks. Last, the
     windows estimated to repeat that are not first are removed.
@@ -217,10 +217,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         def flush():
             rows = np.concatenate(held)
-            rows = rows[np.lexsort((rows[:, 4], rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
-            new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
+            h2 = rows[:, 1] >> 32
+            rows = rows[np.lexsort((rows[:, 3], rows[:, 1], rows[:, 2], h2, rows[:, 0]))]
+            new = np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] >> 32 != rows[:-1, 1] >> 32)]
             rows = rows[new]
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(5)], ["h1", "h2", "doc", "start", "row"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], ["h1", "h2_start", "doc", "row"])
 
         for batch in small_batches(batches):
             found = Windows(batch.column(2).to_pylist(), window)
@@ -230,7 +231,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             doc = found.doc[which]
             ids = batch.column(0).to_numpy()[doc]
             start = found.starts[which] - found.firsts[doc]
-            held.append(np.column_stack([found.digests(which), ids, start, batch.column(1).to_numpy()[doc]]))
+            h = found.digests(which)
+            # 96 bits of the digest, the last 32 above the start: what is sent is what is sorted
+            held.append(np.column_stack([h[:, 0], (h[:, 1] >> 32 << 32) | start, ids, batch.column(1).to_numpy()[doc]]))
             size += len(which)
             if size > GATHERED // 4:
                 yield flush()
@@ -243,10 +246,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy() >> 32
             new = np.r_[last is None or (h1[0], h2[0]) != last, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
             last = (h1[-1], h2[-1])
-            yield batch.select(["row", "doc", "start"]).filter(pa.array(new))
+            start = (batch.column(1).to_numpy() & 0xFFFFFFFF)[new]
+            yield pa.RecordBatch.from_arrays([batch.column(3).filter(pa.array(new)), batch.column(2).filter(pa.array(new)), pa.array(start)], ["row", "doc", "start"])
 
     def remove(batches):
         for batch in small_batches(batches):
@@ -274,10 +278,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(columns, ["d", "n_words", "n_removed", "kept"])
 
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    key = row_key(id_col, text_col)
+    # ids tell documents apart, but where some repeat
+    ids = docs.select(order.alias("doc")).groupBy("doc").agg(F.count("*").alias("n"))
+    key = row_key(id_col, text_col) if ids.where("n > 1").limit(1).count() else F.lit(0).cast("long")
     sent = docs.select(order.alias("doc"), key.alias("row"), as_bytes(text_col).alias("text"))
-    found = sent.mapInArrow(candidates, "h1 long, h2 long, doc long, start long, row long")
-    found = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc", "start", "row")
+    found = sent.mapInArrow(candidates, "h1 long, h2_start long, doc long, row long")
+    found = found.repartition("h1").sortWithinPartitions("h1", F.shiftright("h2_start", 32), "doc", "h2_start", "row")
     firsts = found.mapInArrow(first, "row long, doc long, start long")
     firsts = firsts.groupBy("row", "doc").agg(F.collect_list(F.col("start").cast("int")).alias("starts"))
     rows = docs.select(F.struct("*").alias("d"), order.alias("doc"), key.alias("row"))
