@@ -108,11 +108,13 @@ def drop_common_lines(
     least_chars: int = 1,
     batches: int = 4,
     fanout: int = 4,
+    keep_first: bool = False,
 ) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept``, the text without common lines.
 
     A line goes from every document if its key has ``least_chars`` code points and is in
-    ``at_least`` documents. The documents enter the runs in ``batches``. A null or empty
+    ``at_least`` documents; with ``keep_first`` it stays in the one of smallest id (null ids
+    last), so that of many copies one keeps its text. The documents enter the runs in ``batches``. A null or empty
     text is one empty line; a text whose lines all go becomes empty. Rows of equal id and
     text count as one document and get equal results; rows that share an id only, or have
     none, are documents of their own. Other columns pass through, but for those of the three names.
@@ -127,7 +129,13 @@ def drop_common_lines(
         runs.add(lines.where(F.pmod("_row", F.lit(batches)) == i).select(F.struct("_row", "_id").alias("doc"), *KEY))
     common = cut(runs.totals().where(F.col("n") >= at_least).select(*KEY))
     runs.drop()
-    gone = lines.join(common, KEY, "left_semi").groupBy("_row", "_id").agg(F.collect_list("pos").alias("_gone"))
+    met = lines.join(common, KEY, "left_semi")
+    if keep_first:
+        met = cut(met)
+        order = F.struct(F.coalesce(F.col("_id").cast("long"), F.lit((1 << 63) - 1)).alias("i"), F.col("_row").alias("r"))
+        first = met.groupBy(*KEY).agg(F.min(order).alias("first"))
+        met = met.withColumn("own", order).join(first, KEY).where(F.col("own") != F.col("first"))
+    gone = met.groupBy("_row", "_id").agg(F.collect_list("pos").alias("_gone"))
     gone = gone.select(F.col("_row").alias("_row2"), F.col("_id").alias("_id2"), "_gone")
     joined = keyed.join(gone, (F.col("_row") == F.col("_row2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left")
     text = F.coalesce(f"d.{text_col}", F.lit(""))

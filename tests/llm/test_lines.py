@@ -14,14 +14,17 @@ def key(line):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(STRIP))
 
 
-def brute(rows, at_least):
-    seen = Counter()
-    for d, t in dict.fromkeys(rows):
-        seen.update({key(x) for x in (t or "").split("\n")} - {""})
+def brute(rows, at_least, keep_first=False):
+    seen, first = Counter(), {}
+    for d, t in sorted(dict.fromkeys(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        own = {key(x) for x in (t or "").split("\n")} - {""}
+        seen.update(own)
+        for k in own:
+            first.setdefault(k, d)
     out = []
     for d, t in rows:
         parts = (t or "").split("\n")
-        kept = [x for x in parts if seen[key(x)] < at_least]
+        kept = [x for x in parts if seen[key(x)] < at_least or keep_first and first.get(key(x), -1) == d]
         out.append((d, len(parts), len(parts) - len(kept), "\n".join(kept)))
     return sorted(out, key=str)
 
@@ -47,6 +50,13 @@ def test_matches_brute_force(spark, at_least, batches, fanout):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("foliant_run_")]
 
 
+def test_first_document_keeps_its_lines(spark):
+    rows = [(d, t) for d, t in rows_of() if d != 103]
+    df = spark.createDataFrame([(d, t, "x", 1, "y", 2) for d, t in rows], SCHEMA).repartition(3)
+    got = lines.drop_common_lines(df, at_least=10, keep_first=True)
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got.collect()), key=str) == brute(rows, 10, True)
+
+
 def test_empty_table(spark):
     assert lines.drop_common_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
