@@ -25,6 +25,7 @@ def made():
             own[1] += " Zorgle"
         docs.append((i, "\n".join(own), "en", "s", 0))
         labels.append((i, int(bad)))
+    docs += [(500 + i, docs[2][1], "en", "s", 0) for i in range(15)]
     docs += [(300 + i, docs[i][1], "en", "s", 0) for i in range(0, 40, 4)]
     words = docs[20][1].split(" ")
     words[7] = "zz"
@@ -46,9 +47,10 @@ def test_stages_match_plain_versions(spark, tmp_path):
     assert set(kept) == {d[0] for d in docs} - toxic
     two = stage[1](spark, one, str(tmp_path))
     assert one.columns == two.columns == names.replace("long", "").replace("string", "").replace(" ", "").split(",")
-    by_lines = {d: t for d, _, _, t in test_lines.brute(list(kept.items()), 10)}
+    by_lines = {d: t for d, _, _, t in test_lines.brute(list(kept.items()), 10, True)}
     got = {r.doc_id: (r.text, r.n_chars) for r in two.collect()}
     assert {d: t or "" for d, (t, _) in got.items()} == by_lines and all(n == len(t) for t, n in got.values() if t is not None)
+    assert got[2][0] == kept[2] and got[505][0] == ""
     three = stage[2](spark, two, str(tmp_path))
     groups = test_simhash.groups([(d, t) for d, (t, _) in got.items()])
     firsts = {d: got[d][0] for d, _, c in groups if d == c}
