@@ -28,8 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of ten documents or more go from all."""
-    rows = lines.drop_common_lines(docs)
+    """Lines of ten documents or more stay in the first of them only: of many copies one keeps its text."""
+    rows = lines.drop_common_lines(docs, keep_first=True)
     return _documents(rows, F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text")))
 
 
