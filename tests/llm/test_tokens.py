@@ -65,6 +65,15 @@ def test_parts_code_as_whole_texts():
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, text[:50]
 
 
+def test_parts_of_documents_code_as_the_library():
+    import pyarrow.parquet as pq
+
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    coder = tokens.json_coder(P.path("byte_bpe_50k.json"))
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist():
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
 def test_stream_yields_whole_characters(ranks, right):
     table = {i: t for t, i in ranks.items()}
     text = "né 日本語 🙂👩‍👧 ok ß" * 5
