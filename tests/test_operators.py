@@ -151,7 +151,7 @@ DOC = """<!DOCTYPE html>
 <p>stray</p>
 <ul data-aim-container="u"><li data-aim="i1">a</li><li>b</li></ul>
 <div data-aim="x"/><iframe></iframe>
-<aim-proposals><aim-proposal id="p-1" data-action="modify" data-for="x"><template><p>n</p></template></aim-proposal><aim-proposal id="bad" data-action="delete" data-for="nope"></aim-proposal></aim-proposals>
+<aim-proposals><aim-proposal id="p-1" data-action="modify" data-for="x"><template><p>n</p></template></aim-proposal><aim-proposal id="bad" data-action="delete" data-for="nope"></aim-proposal><aim-proposal id="p-2" data-action="add" data-anchor-container="body" data-anchor-after="p-3"><template><p>n</p></template></aim-proposal><aim-proposal id="p-3" data-action="add" data-anchor-container="body" data-anchor-after="p-2"><template><p>n</p></template></aim-proposal><aim-proposal id="p-4" data-action="add" data-anchor-container="body" data-anchor-after="zz"><template><p>n</p></template></aim-proposal></aim-proposals>
 <script type="application/aim-history+jsonl">
 {"seq":2,"kind":"checkpoint","t":"2026-01-01T00:00:00Z","label":"a","doc_hash":"h"}
 {"seq":true,"kind":"checkpoint","t":"2026-99-01T00:00:00Z","label":"a","doc_hash":"h"}
@@ -166,7 +166,7 @@ def test_findings(spark):
     nodes = markup.nodes(docs).cache()
     found = {(r.doc_id, r.code) for r in rules.findings(nodes).collect()}
     codes = {c for d, c in found if d == 1}
-    assert codes >= {"S011", "S017", "S023", "V008", "V009", "V011", "V012", "X001", "X002", "X003", "C002", "P002", "P008", "H002", "H003", "H004", "S005"}
+    assert codes >= {"S011", "S017", "S023", "V008", "V009", "V011", "V012", "X001", "X002", "X003", "C002", "P002", "P008", "P011", "P015", "H005", "H002", "H003", "H004", "S005"}
     assert not codes & {"S000", "S001", "S002", "S003", "S004", "X004", "P009", "H001", "V004", "V007"}
     assert {c for d, c in found if d == 2} == {"S000"}
     own = {r.id: r for r in views.chunks(nodes).collect()}
