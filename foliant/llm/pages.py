@@ -396,8 +396,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     read. The labeller is trained on made pages and a bounded sample, chosen by a hash of
     the page; repeated rows get equal results, ids and urls pass through.
     """
-    short = pages.where(F.char_length(F.col(html_col)).between(1, SAMPLE_CHARS)).select(F.col(html_col).alias("html"))
-    sample = [r.html for r in short.orderBy(F.xxhash64("html"), "html").limit(sample_pages).collect()]
+    short = pages.where(F.char_length(F.col(html_col)).between(1, SAMPLE_CHARS)).select(F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html"))
+    # the smallest hashes first, so that no task sends more pages than are chosen from it
+    least = [r.h for r in short.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
+    chosen = short.where(F.col("h") <= (least[-1] if least else 0)).groupBy("h").agg(F.min("html").alias("html")).collect()
+    sample = [r.html for r in sorted(chosen, key=lambda r: r.h)]
     shared = pages.sparkSession.sparkContext.broadcast(learn(sample))
 
     def run(batches):
