@@ -132,6 +132,9 @@ def sample(
 ) -> tuple[list[bytes], list[int]]:
     """At most ``rows`` labelled texts of at most ``chars`` code points, chosen by a hash of the id."""
     allowed = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
+    # a share by hash first, so that no task sends many more ids than are chosen
+    share = min(1.0, 1.1 * rows / max(1, allowed.count()))
+    allowed = allowed.where(F.pmod(F.xxhash64(F.lit(7), F.col("_id")), F.lit(1 << 30)) < int(share * (1 << 30)))
     order = [F.xxhash64(F.lit(7), F.col("_id")), F.col("_id"), F.col("_y")]
     # bounded: the ids of the sample are at most ``rows``
     chosen = F.broadcast(allowed.orderBy(*order).limit(rows))
