@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import lines, packing, simhash, substrings, toxicity
+from foliant.llm import lines, packing, shingles, substrings, toxicity
 from foliant.llm.common import checkpoint_folder, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,8 +34,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """One document of each group stays: five-word shingles, exact Jaccard similarity of 0.8 or more.
+
+    The stage keeps its name, but fingerprints would miss copies near that limit.
+    """
+    return shingles.keep_one(docs).select(*COLUMNS)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
