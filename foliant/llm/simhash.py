@@ -235,5 +235,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group; a group without ids is kept."""
     groups = near_groups(docs, id_col, text_col, width, radius)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"), F.col("fp").alias("_fp")).distinct()
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(as_bytes(text_col))})
+    texts = keyed.select("_id", "_key", as_bytes(text_col).alias("text")).join(gone.select(F.col("_gone").alias("_id")).distinct(), "_id")
+
+    def run(batches):
+        for batch in small_batches(batches):
+            found = np.fromiter((fingerprint(x, width) for x in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["_id", "_key", "_fp"])
+
+    found = texts.mapInArrow(run, "_id long, _key long, _fp long")
+    lost = found.join(gone, (found["_id"] == gone["_gone"]) & (found["_fp"] == gone["_fp"])).select("_id", "_key").distinct()
+    return keyed.join(lost, ["_id", "_key"], "left_anti").select(*docs.columns)

@@ -71,3 +71,9 @@ def test_keep_one_keeps_the_first(spark):
     text = " ".join(f"w{i}" for i in range(200))
     df = spark.createDataFrame([(5, text), (3, text.upper()), (9, "other words entirely here now"), (None, text)], "doc_id long, text string")
     assert sorted((r.doc_id for r in simhash.keep_one(df).collect()), key=str) == [3, 9, None]
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    df = spark.createDataFrame([(3, one), (5, one), (5, other)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df).collect()) == [(3, one), (5, other)]
