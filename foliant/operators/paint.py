@@ -28,7 +28,7 @@ def cascade(declarations: DataFrame) -> DataFrame:
     return won.withColumn("value", F.coalesce(rgb(F.col("value")), F.col("value")))
 
 
-def inherited(nodes: DataFrame, won: DataFrame, prop: str = "color", deepest: int = 64) -> DataFrame:
+def inherited(nodes: DataFrame, won: DataFrame, prop: str = "color") -> DataFrame:
     """``doc_id, node_id, value`` with a parent's value where a node has none of its own.
 
     Goes up one level at a time, all nodes at once; ends when no node is still looking.
@@ -37,12 +37,14 @@ def inherited(nodes: DataFrame, won: DataFrame, prop: str = "color", deepest: in
     looking = nodes.where(F.col("kind") == "element").select("doc_id", "node_id", F.col("node_id").alias("at"))
     parents = nodes.select("doc_id", F.col("node_id").alias("at"), "parent_id")
     out = None
-    for _ in range(deepest):
-        met = looking.join(own.withColumnRenamed("node_id", "at"), ["doc_id", "at"], "left")
+    for _ in range(nodes.count() + 1):
+        met = looking.join(own.withColumnRenamed("node_id", "at"), ["doc_id", "at"], "left").localCheckpoint()
         hit = met.where("value is not null").select("doc_id", "node_id", "value")
         out = hit if out is None else out.unionByName(hit)
         looking = met.where("value is null").select("doc_id", "node_id", "at").join(parents, ["doc_id", "at"]).where("parent_id >= 0")
         looking = looking.select("doc_id", "node_id", F.col("parent_id").alias("at"))
         if looking.isEmpty():
             break
+    else:
+        raise ValueError("the parents of some nodes form a cycle")
     return out
