@@ -19,8 +19,8 @@ SHARD = 20
 #: the most that is ever sent to executors. More data only makes more estimates too high.
 WIDEST = 29
 DEPTH = 2
-#: Entries a task gathers before it emits them.
-GATHERED = 2_000_000
+#: Entries a task gathers before it emits them, and bytes of the texts that it cuts into windows at once.
+GATHERED, AT_ONCE = 1_000_000, 2 << 20
 LAST = (1 << 63) - 1
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -139,7 +139,7 @@ def build_sketch(texts: DataFrame, window: int, bits: int) -> np.ndarray:
             rows = [cell[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(shard[edge[:-1]]), pa.array(rows, pa.binary())], ["shard", "cells"])
 
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, size=AT_ONCE):
             for row, cells in enumerate(_cells(Windows(batch.column(0).to_pylist(), window).anchors(), bits)):
                 held.append(cells | np.uint64(row << bits))
                 size += len(cells)
@@ -223,7 +223,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = rows[new]
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], ["h1", "h2_start", "doc", "row"])
 
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, size=AT_ONCE):
             found = Windows(batch.column(2).to_pylist(), window)
             which = np.flatnonzero(estimated_repeated(found.anchor, shared.value, bits))
             if not len(which):
@@ -253,7 +253,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(3).filter(pa.array(new)), batch.column(2).filter(pa.array(new)), pa.array(start)], ["row", "doc", "start"])
 
     def remove(batches):
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, size=AT_ONCE):
             text = batch.column(1).field(batch.column(1).type.get_field_index(text_col))
             found = Windows(text.cast(pa.binary()).fill_null(b"").to_pylist(), window)
             flagged = estimated_repeated(found.anchor, shared.value, bits)
