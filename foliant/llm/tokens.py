@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,16 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of white space with what follows it. No match of the pre-tokenizer's pattern goes from
 #: other characters into white space, so the parts of a text can be coded on their own.
 PART = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Coded parts and determinised states that a worker keeps.
-MOST_PARTS, MOST_STATES = 400_000, 200_000
+#: Where a long text may be cut: white space after another character.
+SEAM = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
+#: Texts of these characters alone are split alike by every Unicode version.
+SETTLED = re.compile("[\t\n\r -~\xa1-\u017f]*")
+#: The split of byte-level tokenizer files that use the built-in pattern (fixed value).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Coded pieces that a worker keeps in each of two generations, their longest, and determinised states.
+MOST_PIECES, LONGEST, MOST_STATES = 400_000, 64, 400_000
+#: Characters of a text that are split at once.
+SEGMENT = 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,140 +46,229 @@ class BpeTransducer:
     A sequence of tokens is what the merges give for its bytes exactly if the merges leave
     every two neighbours apart. The nondeterministic machine therefore holds the last token
     and a place in the trie of tokens; at the end of a token it may take it, if the merges
-    keep it apart from the last one. A determinised state is the set of what is still
-    possible, each with the tokens on which it differs from the rest; tokens that all agree
-    on are emitted. No possibility lives longer than the longest token, which bounds both
-    the lookahead and the states' size. States and steps are made when first met.
+    keep it apart from the last one. A determinised state is what is still possible, oldest
+    place first, each with the tokens on which it differs from the rest; tokens that all
+    agree on are emitted. No possibility lives longer than the longest token, which bounds
+    both the lookahead and the states' size. Of the ways to end at one byte only one is what
+    the merges give, so a state has one possibility that stands between tokens: its last.
+    States and steps are made when first met; when there are too many, all are forgotten.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.apart: dict[tuple[int, int], bool] = {}
-        # the trie: a dict of next places by byte, and the token that ends at each place
-        self.next: list[dict[int, int]] = [{}]
+        # how each token came about: the two tokens of its last merge
+        self.halves: dict[int, tuple[int, int]] = {}
+        # the trie: the place after (place, byte), whether a place goes on, and the token that ends there
+        self.next: dict[int, int] = {}
+        self.goes_on = [False]
         self.ends: list[int | None] = [None]
+        rising = True
         for token, i in ranks.items():
-            if self.merge(token) != [i]:
+            parts = self._merged(token, i)
+            if parts is None:
                 continue  # no merges lead to it; only a whole match can be this token
+            if len(parts) == 2:
+                self.halves[i] = ranks[parts[0]], ranks[parts[1]]
+                rising &= all(len(p) == 1 or ranks[p] < i for p in parts)
             place = 0
             for b in token:
-                after = self.next[place].get(b)
+                after = self.next.get(place << 8 | b)
                 if after is None:
-                    after = self.next[place][b] = len(self.next)
-                    self.next.append({})
+                    after = self.next[place << 8 | b] = len(self.ends)
+                    self.goes_on[place] = True
+                    self.goes_on.append(False)
                     self.ends.append(None)
                 place = after
             self.ends[place] = i
+        # merges come in the order of their ranks if none makes a token of a lesser rank than its parts
+        self.rising = rising
         self._reset()
 
-    def _reset(self) -> None:
-        start = frozenset({(-1, 0, ())})
-        self.states = {start: 0}
-        self.sets = [start]
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+    def _reset(self, held: tuple = ((-1, 0, ()),)) -> None:
+        self.apart: dict[int, bool] = {}
+        self.sets = [((-1, 0, ()),)]
+        self.numbers = {self.sets[0]: 0}
+        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._number(held)
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The tokens of a short piece by merging the best-ranked neighbours until none merge."""
+    def _number(self, state: tuple) -> int:
+        at = self.numbers.get(state)
+        if at is None:
+            at = self.numbers[state] = len(self.sets)
+            self.sets.append(state)
+        return at
+
+    def _merged(self, token: bytes, i: int) -> list[bytes] | None:
+        """The two parts of a token before its last merge, itself if it is one byte, or nothing if merges make other tokens of it."""
+        if len(token) == 1:
+            return [token]
+        parts = self._merge(token, i)
+        return parts if len(parts) == 2 and all(p in self.ranks for p in parts) else None
+
+    def _merge(self, piece: bytes, below: int) -> list[bytes]:
+        """The parts of a short piece by merging the best-ranked neighbours of a rank under ``below``."""
+        get = self.ranks.get
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
-            found = [(self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
-            rank, at = min(found)
-            if rank == 1 << 60:
+            rank, at = min((get(a + b, below), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
 
-    def _keeps_apart(self, a: int, b: int) -> bool:
-        if a < 0:
-            return True
-        known = self.apart.get((a, b))
-        if known is None:
-            known = self.apart[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return known
+    def merge(self, piece: bytes) -> list[int]:
+        """The tokens of a short piece by all its merges."""
+        return [self.ranks[p] for p in self._merge(piece, 1 << 60)]
+
+    def keeps_apart(self, a: int, b: int) -> bool:
+        """Whether the merges leave two neighbours as they are.
+
+        Merges are undone from the last to the first. Whatever stood left and right of the
+        seam until the merge of rank ``limit`` would have merged before it, had their own
+        rank been less; of equals the left one is first.
+        """
+        if not self.rising:
+            return self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        get, text, halves = self.ranks.get, self.bytes_of, self.halves
+        limit = 1 << 60
+        while True:
+            if get(text[a] + text[b], limit) < limit:
+                return False
+            left, right = halves.get(a), halves.get(b)
+            if left is not None and (right is None or a > b):
+                limit, a = a, left[1]
+            elif right is not None:
+                limit, b = b + 1, right[0]
+            else:
+                return True
 
     def _step(self, state: int, b: int) -> tuple[int, tuple[int, ...]]:
-        after = set()
+        after, taken = [], None
+        get, ends, goes_on, apart = self.next.get, self.ends, self.goes_on, self.apart
         for last, place, rest in self.sets[state]:
-            place = self.next[place].get(b)
+            place = get(place << 8 | b)
             if place is None:
                 continue
-            if self.next[place]:
-                after.add((last, place, rest))
-            token = self.ends[place]
-            if token is not None and self._keeps_apart(last, token):
-                after.add((token, 0, (*rest, token)))
-        rests = [rest for _, _, rest in after]
-        n = 0
-        shortest = min(map(len, rests), default=0)
-        while n < shortest and all(rest[n] == rests[0][n] for rest in rests):
+            if goes_on[place]:
+                after.append((last, place, rest))
+            token = ends[place]
+            if token is None or taken is not None:
+                continue
+            if last >= 0:
+                known = apart.get(last << 32 | token)
+                if known is None:
+                    known = apart[last << 32 | token] = self.keeps_apart(last, token)
+                if not known:
+                    continue
+            taken = token, 0, (*rest, token)
+        if taken is None:
+            raise ValueError("the vocabulary lacks single bytes")
+        after.append(taken)
+        n, first = 0, after[0][2]
+        while n < len(first) and all(len(rest) > n and rest[n] == first[n] for _, _, rest in after):
             n += 1
-        out = rests[0][:n] if n else ()
-        found = frozenset((last, place, rest[n:]) for last, place, rest in after)
-        at = self.states.get(found)
-        if at is None:
-            at = self.states[found] = len(self.sets)
-            self.sets.append(found)
-            self.steps.append({})
-        self.steps[state][b] = at, out
-        return at, out
+        if n:
+            after = [(last, place, rest[n:]) for last, place, rest in after]
+        at = self._number(tuple(after))
+        step = self.steps[state << 8 | b] = at, first[:n]
+        return step
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.sets) > MOST_STATES:
-            self._reset()
         out: list[int] = []
         state = 0
         for b in piece:
-            step = self.steps[state].get(b) or self._step(state, b)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-            if len(self.sets) > 2 * MOST_STATES:  # a very long piece: go on from this state alone
-                held = self.sets[state]
-                self._reset()
-                state = self.states[held] = len(self.sets)
-                self.sets.append(held)
-                self.steps.append({})
-        for _, place, rest in self.sets[state]:
-            if not place:
-                return out + list(rest)
-        raise ValueError("the vocabulary lacks single bytes")
-
-
-class PartCoder(dict):
-    """Little-endian ids by part of a text; coded when first met, and forgotten all at once when there are too many."""
-
-    def __init__(self, code):
-        super().__init__()
-        self.code = code
+            step = self.steps.get(state << 8 | b)
+            if step is None:
+                if len(self.sets) > MOST_STATES:  # go on from this state alone
+                    held = self.sets[state]
+                    self._reset(held)
+                    state = self.numbers[held]
+                step = self._step(state, b)
+            state, more = step
+            if more:
+                out += more
+        out += self.sets[state][-1][2]
+        return out
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return pack(f"<{len(ids)}I", *ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+
+
+class PieceCoder(dict):
+    """Little-endian ids by piece of a text; coded when first met, and forgotten by generations.
+
+    When there are ``MOST_PIECES``, they become the old generation and the old one goes;
+    a piece met again comes back. Pieces over ``LONGEST`` characters are not kept.
+    """
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= MOST_PARTS:
-            self.clear()
-        found = self[part] = np.array(self.code(part), "<u4").tobytes()
+    def __init__(self, split, code):
+        super().__init__()
+        self.split, self.code = split, code
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = packed(self.code(piece))
+        if len(piece) <= LONGEST:
+            if len(self) >= MOST_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers."""
-        return b"".join(map(self.__getitem__, PART.findall(text)))
+        if len(text) <= SEGMENT:
+            return b"".join(map(self.__getitem__, self.split(text)))
+        return b"".join(b"".join(map(self.__getitem__, self.split(x))) for x in segments(text))
+
 
+def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
+    """A text cut where white space follows other characters, after ``size`` characters or more."""
+    at = 0
+    while at < len(text):
+        seam = SEAM.search(text, at + size)
+        end = seam.start() if seam else len(text)
+        yield text[at:end]
+        at = end
 
-def bpe_coder(ranks: dict[bytes, int], pattern: str) -> PartCoder:
-    matches = regex.compile(pattern)
+
+def bpe_coder(ranks: dict[bytes, int], pattern: str) -> PieceCoder:
     machine = BpeTransducer(ranks)
-    return PartCoder(lambda part: [i for m in matches.findall(part) for i in machine.encode(m.encode())])
+    return PieceCoder(regex.compile(pattern).findall, lambda piece: machine.encode(piece.encode()))
+
 
+def json_coder(path: str) -> PieceCoder:
+    """A coder of a tokenizers file; the strings of special tokens are ordinary text.
 
-def json_coder(path: str) -> PartCoder:
-    """A coder of a tokenizers file; the strings of special tokens are ordinary text."""
+    Where the file splits by the built-in pattern, settled texts are split so before the
+    library codes each piece; it meets the parts of other texts whole.
+    """
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
-    return PartCoder(lambda part: own.encode(part, add_special_tokens=False).ids)
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    kind = made.get("pre_tokenizer") or {}
+    built_in = made.get("normalizer") is None and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
+    split = regex.compile(BYTE_LEVEL).findall
+
+    def pieces(text: str) -> list[str]:
+        if not built_in:
+            return PART.findall(text)
+        if SETTLED.fullmatch(text):
+            return split(text)
+        return [x for part in PART.findall(text) for x in (split(part) if SETTLED.fullmatch(part) else (part,))]
+
+    return PieceCoder(pieces, lambda piece: own.encode(piece, add_special_tokens=False).ids)
 
 
 class Utf8Stream:
