@@ -17,23 +17,24 @@ SEED = 42
 PAIRWISE = 2048
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """The unsigned fingerprint of one UTF-8 text."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of each shingle of one UTF-8 text, repeats included; a text of fewer words is one shingle."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     whole = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(sizes) + np.arange(n)
     starts = ends - sizes
     k = min(width, n)
     of = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (of(whole[s:e], SEED) for s, e in zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)),
-        np.uint64,
-        n - k + 1,
-    )
+    places = zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
+    return np.fromiter((of(whole[s:e], SEED) for s, e in places), np.uint64, n - k + 1)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of shingle hashes: the bits that over half of them have."""
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -41,6 +42,11 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """The unsigned fingerprint of one UTF-8 text; zero for a blank one."""
+    return fingerprint_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """``doc_id, fp`` of each row; fp holds the 64 bits as a signed long.
 
@@ -189,11 +195,17 @@ def links(distinct: DataFrame, radius: int = 4, pairwise: int = PAIRWISE) -> Dat
     if radius % 2:
         raise ValueError("the radius is even")
     most = min(pairwise, PAIRWISE)
-    tables = F.array(*[
-        F.struct(F.lit(v).cast("int").alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key"))
-        for v, mask in enumerate(covering_masks(radius))
-    ])
-    keyed = distinct.select("fp", F.explode(tables).alias("t")).select("t.v", "t.key", "fp")
+    masks = np.array([_signed(m) for m in covering_masks(radius)], np.int64)
+
+    def keys(batches):
+        # a few fingerprints at a time: rows are many times as many
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                fp = batch.column(0).slice(at, 1024).to_numpy()
+                v = np.repeat(np.arange(len(masks), dtype=np.int32), len(fp))
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array((masks[:, None] & fp[None, :]).ravel()), pa.array(np.tile(fp, len(masks)))], ["v", "key", "fp"])
+
+    keyed = distinct.select("fp").mapInArrow(keys, "v int, key long, fp long")
     found = cut(
         keyed.repartition("v", "key").sortWithinPartitions("v", "key").mapInArrow(_link(radius, most), "a long, b long, v int")
     )
