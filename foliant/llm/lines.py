@@ -125,10 +125,12 @@ def drop_common_lines(
     lines = line_hashes(keyed, f"d.{text_col}", ["_row", "_id"]).where(F.col("key_chars") >= least_chars).drop("key_chars")
     lines = cut(lines)
     runs = LineRuns(spark, at_least, fanout)
-    for i in range(batches):
-        runs.add(lines.where(F.pmod("_row", F.lit(batches)) == i).select(F.struct("_row", "_id").alias("doc"), *KEY))
-    common = cut(runs.totals().where(F.col("n") >= at_least).select(*KEY))
-    runs.drop()
+    try:
+        for i in range(batches):
+            runs.add(lines.where(F.pmod("_row", F.lit(batches)) == i).select(F.struct("_row", "_id").alias("doc"), *KEY))
+        common = cut(runs.totals().where(F.col("n") >= at_least).select(*KEY))
+    finally:
+        runs.drop()
     met = lines.join(common, KEY, "left_semi")
     if keep_first:
         met = cut(met)

@@ -5,7 +5,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from tests.llm import test_lines, test_simhash, test_substrings  # noqa: E402
+from tests.llm import test_lines, test_shingles, test_substrings  # noqa: E402
 
 
 def made():
@@ -52,8 +52,9 @@ def test_stages_match_plain_versions(spark, tmp_path):
     assert {d: t or "" for d, (t, _) in got.items()} == by_lines and all(n == len(t) for t, n in got.values() if t is not None)
     assert got[2][0] == kept[2] and got[505][0] == ""
     three = stage[2](spark, two, str(tmp_path))
-    groups = test_simhash.groups([(d, t) for d, (t, _) in got.items()])
-    firsts = {d: got[d][0] for d, _, c in groups if d == c}
+    texts = [(d, t) for d, (t, _) in sorted(got.items())]
+    firsts = {texts[x][0]: texts[x][1] for x in test_shingles.roots(texts)}
+    assert 400 not in firsts  # a copy of document 20 with one word changed
     assert {r.doc_id: r.text for r in three.collect()} == firsts
     four = stage[3](spark, three, str(tmp_path))
     right = {d: t if gone else firsts[d] for d, _, gone, t in test_substrings.brute(list(firsts.items()), 20)}
@@ -63,3 +64,53 @@ def test_stages_match_plain_versions(spark, tmp_path):
     assert {r.doc_id for r in five} == set(right)
     assert max(Counter((r.sequence_id, r.offset) for r in five).values()) == 1
     assert {r.ids_crc32 for r in five} == {r.ids_crc32 for r in stage[4](spark, four, str(tmp_path)).collect()}
+
+
+NAMES = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def tables(spark, folder, docs, labels, more=""):
+    spark.createDataFrame(docs, NAMES + more).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, str(tmp_path), [], [])).collect() == []
+
+
+def test_rows_of_every_kind(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(9000)}" for _ in range(n))
+    one, other, long_text = text(120), text(130), text(60_000)
+    docs = [(1, one), (1, one), (2, other), (2, text(90)), (None, one), (None, None), (3, None), (4, ""), (5, long_text), (6, long_text + " end")]
+    rows = [(d, t, None, None, None, 7, "x", "y") for d, t in docs]
+    folder = tables(spark, str(tmp_path), rows, [(1, 0), (1, 0), (77, 1), (2, None)], ", node int, kept string, d string")
+    spark.createDataFrame([(i, int(i % 2)) for i in range(1, 7)], "doc_id long, toxic int").where("toxic = 0").write.mode("append").parquet(f"{folder}/labels.parquet")
+    stages, rows = [f for _, f in corpus_pipeline.STAGES], spark.read.parquet(f"{folder}/documents.parquet")
+    near = stages[2](spark, rows, folder)
+    assert near.columns == corpus_pipeline.COLUMNS
+    # equal rows and rows without an id stay; of blank texts the smallest id stays, and of the two long near copies
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == Counter((d, t) for d, t in docs if (d, t) not in [(4, ""), (6, long_text + " end")])
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in packed} == {None, 1, 2, 3, 5}
+    assert sum(r.length for r in packed if r.doc_id == 5) > 60_000
+    again = corpus_pipeline.run(spark, folder).collect()
+    assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in again) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from foliant.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        common.checkpoint_folder(Session())
