@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +70,19 @@ def small_batches(batches, rows: int = BATCH_ROWS, size: int = 8 << 20):
             step = max(1, min(rows, batch.num_rows * size // batch.nbytes))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def tidy(run):
+    """A function for mapInArrow, after which its worker, which other stages use too, gives back the memory that is free."""
+
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied

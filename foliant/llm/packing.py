@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, small_batches
+from foliant.llm.common import cut, small_batches, tidy
 from foliant.llm.tokens import _held, json_coder
 
 #: Fillings tried around one largest piece, members of a filling found by search, and branches in all.
@@ -210,6 +210,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     of that length, its first piece taking what does not fill one.
     """
 
+    @tidy
     def run(batches):
         coder = _held((tokenizer, "json"), lambda: json_coder(tokenizer))
         end = np.array([end_id], "<u4").tobytes()

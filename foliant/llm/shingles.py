@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import simhash
-from foliant.llm.common import as_bytes, cut, small_batches
+from foliant.llm.common import as_bytes, cut, small_batches, tidy
 from foliant.llm.components import connected_components
 
 SEED = 42
@@ -94,6 +94,7 @@ def _prefixes(docs: DataFrame, width: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_known(docs, width))
     names = ["doc_id", "text_key", "node", "n", "fp", "sketch", "pre"]
 
+    @tidy
     def run(batches):
         known, counts = shared.value
         for batch in small_batches(batches):
@@ -196,6 +197,7 @@ def _near(batches):
 
 
 def _verified(width: int):
+    @tidy
     def run(batches):
         last, held = None, None
         for batch in small_batches(batches, 128):

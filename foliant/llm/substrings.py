@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import as_bytes, row_key, small_batches
+from foliant.llm.common import as_bytes, row_key, small_batches, tidy
 
 #: Cells of one shard of the sketch, as a power of two: what a merging task counts at once.
 SHARD = 20
@@ -127,6 +127,7 @@ def build_sketch(texts: DataFrame, window: int, bits: int) -> np.ndarray:
     """
     shard_bits = min(SHARD, bits)
 
+    @tidy
     def partial(batches):
         held: list[np.ndarray] = []
         size = 0
@@ -211,6 +212,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = sketch_bits(size, widest)
     shared = spark.sparkContext.broadcast(build_sketch(text, window, bits))
 
+    @tidy
     def candidates(batches):
         held: list[np.ndarray] = []
         size = 0
@@ -252,6 +254,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             start = (batch.column(1).to_numpy() & 0xFFFFFFFF)[new]
             yield pa.RecordBatch.from_arrays([batch.column(3).filter(pa.array(new)), batch.column(2).filter(pa.array(new)), pa.array(start)], ["row", "doc", "start"])
 
+    @tidy
     def remove(batches):
         for batch in small_batches(batches, size=AT_ONCE):
             text = batch.column(1).field(batch.column(1).type.get_field_index(text_col))

@@ -29,7 +29,7 @@ SETTLED = re.compile("[\t\n\r -~\xa1-\u017f]*")
 #: The split of byte-level tokenizer files that use the built-in pattern (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Coded pieces that a worker keeps in each of two generations, their longest, and determinised states.
-MOST_PIECES, LONGEST, MOST_STATES = 400_000, 64, 400_000
+MOST_PIECES, LONGEST, MOST_STATES = 150_000, 64, 400_000
 #: Characters of a text that are split at once.
 SEGMENT = 1 << 18
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import as_bytes, small_batches
+from foliant.llm.common import as_bytes, small_batches, tidy
 from foliant.llm.descent import descend
 
 #: Lengths of the n-grams in bytes, and the hashed feature space as a power of two.
@@ -20,15 +20,21 @@ SPACE_BITS = 22
 SAMPLE_ROWS, SAMPLE_CHARS = 10_000, 20_000
 FEATURES = 2000
 THRESHOLD = 0.3
+#: Bytes whose n-grams are made at once; each takes some hundred bytes meanwhile.
+AT_ONCE = 1 << 19
 
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
+def bare(text: bytes) -> bytes:
+    """A-Z lower-cased, white space as single spaces, also at both ends."""
+    return b" " + b" ".join(text.lower().split()) + b" "
+
+
 def grams(texts: list[bytes], sizes=SIZES) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of every n-gram: A-Z lower-cased, white space as single spaces, also at both ends."""
-    bare = [b" " + b" ".join(t.lower().split()) + b" " for t in texts]
-    doc = np.repeat(np.arange(len(bare), dtype=np.int32), np.fromiter(map(len, bare), np.int64, len(bare)))
-    code = np.frombuffer(b"".join(bare), np.uint8).astype(np.uint64) + np.uint64(1)
+    """(text, feature) of every n-gram of bare texts."""
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, texts), np.int64, len(texts)))
+    code = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
     docs, found = [], []
     with np.errstate(over="ignore"):
         h = code
@@ -46,6 +52,20 @@ def grams(texts: list[bytes], sizes=SIZES) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(found).astype(np.int64)
 
 
+def slices(texts: list[bytes], size: int, overlap: int):
+    """Lists of (text, slice) of about ``size`` bytes in all; slices of a text overlap, so that every n-gram is whole in one."""
+    held, total = [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text)), size):
+            held.append((i, text[at : at + size + overlap]))
+            total += len(held[-1][1])
+            if total >= size:
+                yield held
+                held, total = [], 0
+    if held:
+        yield held
+
+
 @dataclass
 class Model:
     features: np.ndarray
@@ -59,9 +79,13 @@ class Model:
             return np.full(len(texts), 1 / (1 + np.exp(-self.bias)))
         known = np.zeros(1 << SPACE_BITS, bool)
         known[self.features] = True
-        doc, feature = grams(texts, self.sizes)
-        hit = known[feature]
-        pairs = np.unique(doc[hit].astype(np.int64) << SPACE_BITS | feature[hit])
+        met = []
+        for held in slices([bare(t) for t in texts], AT_ONCE, max(self.sizes) - 1):
+            of = np.array([i for i, _ in held], np.int64)
+            doc, feature = grams([x for _, x in held], self.sizes)
+            hit = known[feature]
+            met.append(np.unique(of[doc[hit]] << SPACE_BITS | feature[hit]))
+        pairs = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
         doc, feature = pairs >> SPACE_BITS, pairs & ((1 << SPACE_BITS) - 1)
         at = np.searchsorted(self.features, feature)
         logit = self.bias + np.bincount(doc, self.weights[at], len(texts))
@@ -82,7 +106,7 @@ def fit(texts: list[bytes], labels: list[int], features: int = FEATURES, alpha:
     # documents by feature and class, a few texts at a time
     seen = np.zeros((2, 1 << SPACE_BITS), np.int32)
     for at in range(0, len(texts), 64):
-        doc, feature = grams(texts[at : at + 64])
+        doc, feature = grams([bare(t) for t in texts[at : at + 64]])
         pairs = np.unique(doc.astype(np.int64) << SPACE_BITS | feature)
         of = y[at + (pairs >> SPACE_BITS)].astype(np.int64)
         feature = pairs & ((1 << SPACE_BITS) - 1)
@@ -105,7 +129,7 @@ def fit(texts: list[bytes], labels: list[int], features: int = FEATURES, alpha:
     known[chosen] = np.arange(len(chosen))
     rows, cols = [], []
     for at in range(0, len(texts), 64):
-        doc, feature = grams(texts[at : at + 64])
+        doc, feature = grams([bare(t) for t in texts[at : at + 64]])
         col = known[feature]
         hit = col >= 0
         pairs = np.unique(doc[hit].astype(np.int64) << 32 | col[hit])
@@ -159,6 +183,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = fit(*sample(docs, labels, id_col, text_col, label_col, **bounds))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches):
         for batch in small_batches(batches):
             d = batch.column(0)
