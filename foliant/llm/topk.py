@@ -3,67 +3,149 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
+from foliant.llm.common import checkpoint_folder, cut, tidy
 
-#: Vectors of a block of candidates and of a block of queries: what one task holds at once.
-CANDIDATES, QUERIES = 8192, 2048
-#: Shares of the lists that are read before bounds are compared.
-DEPTHS = (1 / 16, 1 / 4)
+#: Vectors whose lists a task holds at once, blocks of them for a task at least, and components of the queries that are sent at once.
+CANDIDATES, BLOCKS, SENT = 4096, 4, 1 << 22
+#: Vectors of a task that are scored at once for a first bar, and rounds in which lists are read.
+FIRST, ROUNDS = 256, 16
 LARGEST = 2**63 - 1
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """(query row, id, score) of the k best of ``vectors`` for each query, ties to smaller ids.
+class Lists:
+    """The sorted lists of a block of vectors: for each component the rows by rising value."""
 
-    Each dimension is two lists of the candidates, by falling and by rising value; a query
-    reads the one that its sign favours. After a depth of reading, a value that was not read
-    is at most the last one read, and at least the end of the list. Both bounds of all
-    queries and candidates are matrix products, so no single value is ever looked up. A
-    candidate stays while its upper bound reaches the k-th lower bound; when reading on
-    costs more than it saves, the final scores of those that stay are resolved exactly.
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        self.vectors, self.ids = vectors, ids
+        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
+        self.values = np.take_along_axis(vectors.T, self.order, axis=1)
+
+
+def scan(lists: Lists, query: np.ndarray, own: int, k: int, bar: float) -> tuple[np.ndarray, int]:
+    """Rows that may be among the ``k`` best, and how many list entries were read to know it.
+
+    The query reads each list from the end that its sign favours, all lists at one pace.
+    Of every row it keeps the sum of the entries met so far and which they were. The entry
+    last read bounds what the others of its list can add, and the far end what they add at
+    least. A row goes when its upper bound is below the bar: ``bar``, or the k-th best lower
+    bound. As long as a row that was never met could reach the bar, nothing can be told;
+    reading stops when what is left is cheaper to score than the next round is to read.
     """
-    n, width = vectors.shape
-    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    order = np.sort(vectors, axis=0)
-    low, high = order[0], order[-1]
-    alive = np.ones((len(queries), n), bool)
-    open_ = np.arange(len(queries))
-    for share in DEPTHS:
-        depth = math.ceil(share * n)
-        if n <= 4 * k or not len(open_) or depth >= n:
-            break
-        fall, rise = order[n - depth], order[depth - 1]
-        p, m = plus[open_], minus[open_]
-        upper = p @ np.maximum(vectors, fall).T + m @ np.minimum(vectors, rise).T
-        lower = p @ np.where(vectors >= fall, vectors, low).T + m @ np.where(vectors <= rise, vectors, high).T
-        # the query's own row may hold one of the k places
-        lower[query_ids[open_][:, None] == ids[None, :]] = -np.inf
-        bar = -np.partition(-lower, k - 1, axis=1)[:, k - 1]
-        stay = upper >= bar[:, None] - 1e-9 * np.abs(bar[:, None])
-        alive[open_] &= stay
-        open_ = open_[stay.sum(axis=1) > 8 * k]
-    size = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(width, 1)
-    exact = size < 2**53
-    out = []
-    for q in range(len(queries)):
-        at = np.flatnonzero(alive[q] & (ids != query_ids[q]))
+    n, width = lists.vectors.shape
+    step = max(1, -(-n // ROUNDS))
+    down = query > 0
+    order = np.where(down[:, None], lists.order[:, ::-1], lists.order)
+    gains = np.where(down[:, None], lists.values[:, ::-1], lists.values) * query[:, None]
+    least = gains[:, -1]
+    total, met = np.zeros(n), np.zeros((n, width))
+    for at in range(0, n, step):
+        rows, gain = order[:, at : at + step], gains[:, at : at + step]
+        total += np.bincount(rows.ravel(), gain.ravel(), n)
+        met[rows, np.arange(width)[:, None]] = 1.0
+        last = gain[:, -1]
+        if at + step >= n or (last.sum() >= bar and at + step < n // 2):
+            continue
+        lower = total + (least.sum() - met @ least)
+        lower[lists.ids == own] = -np.inf
+        if n > k:
+            bar = max(bar, -np.partition(-lower, k - 1)[k - 1])
+        left = np.flatnonzero(total + (last.sum() - met @ last) >= bar)
+        if len(left) <= max(step, 2 * k):
+            return left, (at + step + len(left)) * width
+    return np.arange(n), n * width
+
+
+def best(found: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
+    """The k best of (score, id), ties to smaller ids."""
+    return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+
+
+def answer(lists: Lists, queries: np.ndarray, query_ids: np.ndarray, held: list[list[tuple[int, int]]], k: int, exact: bool) -> int:
+    """Add a block to what each query holds: its k best (score, id); the number of entries read."""
+    read = 0
+    for q, (query, own) in enumerate(zip(queries, query_ids.tolist(), strict=True)):
+        bar = held[q][k - 1][0] if len(held[q]) == k else -math.inf
+        n = len(lists.ids)
+        if exact and math.isinf(bar) and n > 2 * FIRST:
+            some = np.arange(FIRST)[lists.ids[:FIRST] != own]
+            read += FIRST * len(query)
+            if len(some) >= k:
+                bar = float(-np.partition(-(lists.vectors[some] @ query), k - 1)[k - 1])
+        rows, more = scan(lists, query, own, k, bar) if exact else (np.arange(n), n * len(query))
+        read += more
+        rows = rows[lists.ids[rows] != own]
         if exact:
-            score = vectors[at] @ queries[q]
+            score = lists.vectors[rows] @ query
+            near = score >= bar
+            if near.sum() > 8 * k:
+                near &= score >= -np.partition(-score, k - 1)[k - 1]
+            found = zip(score[near].astype(np.int64).tolist(), lists.ids[rows[near]].tolist(), strict=True)
         else:
-            own = [int(x) for x in queries[q]]
-            score = np.array([sum(int(a) * b for a, b in zip(row, own, strict=True)) for row in vectors[at].tolist()], object)
-        if exact and len(at) > 8 * k:  # before sorting, what is below the k-th score goes
-            near = score >= -np.partition(-score, k - 1)[k - 1]
-            at, score = at[near], score[near]
-        for j in sorted(range(len(at)), key=lambda j: (-score[j], ids[at[j]]))[:k] if not exact else np.lexsort((ids[at], -score))[:k]:
-            out.append((q, int(ids[at[j]]), int(score[j])))
-    return out
+            whole = query.tolist()
+            found = ((sum(a * b for a, b in zip(whole, v, strict=True)), i) for v, i in zip(lists.vectors[rows].tolist(), lists.ids[rows].tolist(), strict=True))
+        held[q] = best([*held[q], *found], k)
+    return read
+
+
+def _arrays(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of rows of one width."""
+    vectors = table.column("v")
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return table.column("vec_id").to_numpy(), vectors.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+
+def _asker(shared, k: int):
+    """Answers of the queries of ``shared`` among the rows of a task, block by block."""
+
+    @tidy
+    def run(batches):
+        asked = shared.value
+        held = {width: [[] for _ in ids] for width, (ids, _) in asked.items()}
+        waiting: dict[int, list] = {width: [] for width in asked}
+
+        def block(width):
+            ids, vectors = (np.concatenate(x) for x in zip(*waiting[width], strict=True))
+            waiting[width] = []
+            query_ids, queries = asked[width]
+            size = float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(vectors.astype(float)).max(initial=0)) * max(width, 1)
+            exact = size < 2**53
+            kind = np.float64 if exact else object
+            lists = Lists(vectors.astype(kind), ids) if exact else _Plain(vectors.astype(kind), ids)
+            answer(lists, queries.astype(kind), query_ids, held[width], k, exact)
+
+        for batch in batches:
+            widths = batch.column("width").to_numpy()
+            for width in np.unique(widths).tolist():
+                if width not in asked:
+                    continue
+                own = _arrays(batch.filter(pa.array(widths == width)))
+                for at in range(0, len(own[0]), CANDIDATES):
+                    waiting[width].append(tuple(x[at : at + CANDIDATES] for x in own))
+                    if sum(len(i) for i, _ in waiting[width]) >= CANDIDATES:
+                        block(width)
+        for width, rows in waiting.items():
+            if rows:
+                block(width)
+        for width, (ids, _) in asked.items():
+            found = [(q, i, max(-LARGEST - 1, min(LARGEST, s))) for q, own in zip(ids.tolist(), held[width], strict=True) for s, i in own]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+class _Plain:
+    """Vectors without lists, for numbers that doubles cannot add exactly."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        self.vectors, self.ids = vectors, ids
 
 
 def top_k(
@@ -76,50 +158,41 @@ def top_k(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best other vectors of each query.
 
-    Components become floor(scale * x); queries are the ids divisible by ``every``. Rows
-    take no part whose vector is null, empty, or holds null or non-finite components, nor
-    rows with a null id. Of rows that share an id, the one with the smallest vector counts.
-    Vectors of other widths than the query's do not meet it. A component or
-    score beyond 64 bits counts as the nearest 64-bit number. An empty table gives an empty result.
+    Components become floor(scale * x), at most the nearest 64-bit number; queries are the
+    ids divisible by ``every``. Rows take no part whose vector is null, empty, or holds null
+    or non-finite components, nor rows with a null id. Of rows that share an id the one with
+    the smallest vector asks, but all of them are candidates. Vectors of other widths than
+    the query's do not meet it. A score beyond 64 bits counts as the nearest 64-bit number.
+    An empty table gives an empty result.
 
-    Candidates and queries are dealt into blocks of fixed size; every pair of blocks meets
-    in one task, and the k best of each block are ranked again. No block is broadcast.
+    Candidates are dealt evenly once and stay where they are. Queries are sent to them a
+    bounded number at a time, so that a task holds one block of candidates with its lists and
+    one bounded set of queries; each task sends the k best of each, which are ranked again.
     """
+    spark = vectors.sparkSession
     x = F.col(vector_col)
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    # repeated ids are resolved by arrays of whole numbers, compared left to right
-    whole = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("double"))
+    whole = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
     rows = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite)
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
-    rows = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("width", F.size("v")))
-    asks = rows.where(F.col("vec_id") % every == 0)
-    n, m = rows.count(), asks.count()
-    cs, qs = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(m / QUERIES))
-    dealt = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
-    left = rows.select("*", (dealt % cs).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("q"))
-    right = asks.select("*", (dealt % qs).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(cs - 1))).alias("c"))
-
-    def block(table: pa.Table):
-        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(table.num_rows, -1), table.column("vec_id").to_numpy()
-
-    def meet(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        found = []
-        if candidates.num_rows and queries.num_rows:
-            vs, ids = block(candidates)
-            qv, qids = block(queries)
-            for at in range(0, len(qids), 256):
-                part = qids[at : at + 256]
-                found += [(int(part[q]), i, s) for q, i, s in best(qv[at : at + 256], part, vs, ids, k)]
-        held = [max(-LARGEST - 1, min(LARGEST, s)) for _, _, s in found]
-        return pa.table({
-            "query_id": pa.array([f[0] for f in found], pa.int64()),
-            "vec_id": pa.array([f[1] for f in found], pa.int64()),
-            "score": pa.array(held, pa.int64()),
-        })
-
-    pairs = left.groupBy("c", "q", "width").cogroup(right.groupBy("c", "q", "width"))
-    found = pairs.applyInArrow(meet, "query_id long, vec_id long, score long")
+    rows = cut(rows.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v")).withColumn("width", F.size("v")))
+    # the smallest vector of an id, compared left to right
+    asks = cut(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("width", F.size("v")))
+    asked = asks.agg(F.count("*").alias("n"), F.max("width").alias("width")).first()
+    if not asked["n"]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    turns = max(1, math.ceil(asked["n"] * asked["width"] / SENT))
+    rows = rows.repartition(max(1, math.ceil(rows.count() / (CANDIDATES * BLOCKS))))
+    rows = cut(rows) if turns > 1 else rows
+    folder = f"{checkpoint_folder(spark)}/topk-{uuid.uuid4().hex}"
+    kinds = "query_id long, vec_id long, score long"
+    for turn in range(turns):
+        table = asks.where(F.pmod(F.xxhash64("vec_id"), F.lit(turns)) == turn).toArrow()
+        widths = table.column("width").to_numpy()
+        sent = {int(w): _arrays(table.filter(pa.array(widths == w))) for w in np.unique(widths)}
+        found = rows.mapInArrow(_asker(spark.sparkContext.broadcast(sent), k), kinds)
+        if turns > 1:
+            found.write.mode("append").parquet(folder)
+    found = spark.read.schema(kinds).parquet(folder) if turns > 1 else found
     order = "row_number() over (partition by query_id order by score desc, vec_id)"
     ranked = found.select("query_id", "vec_id", "score", F.expr(order).cast("int").alias("rank"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -10,17 +10,19 @@ SCHEMA = "vec_id long, embedding array<float>, score int, rank int, v string"
 
 
 def brute(rows, k=5):
-    held = {}
+    kept = []
     for i, v in rows:
         if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
             continue
-        whole = [math.floor(256.0 * float(np.float32(x))) for x in v]
-        held[i] = min(held.get(i, whole), whole)
+        kept.append((i, [math.floor(256.0 * float(np.float32(x))) for x in v]))
+    asks = {}
+    for i, v in kept:
+        if i % 50 == 0:
+            asks[i] = min(asks.get(i, v), v)
     out = []
-    for q, a in held.items():
-        if q % 50 == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in held.items() if i != q and len(a) == len(b))
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
+    for q, a in asks.items():
+        found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in kept if i != q and len(a) == len(b))
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
     return sorted(out)
 
 
@@ -30,14 +32,16 @@ def table(kind):
         rows = [(i, [float(rng.randint(-1, 1)) / 4 for _ in range(4)] if i % 3 else [0.5, -0.25, 0.0, 1.0]) for i in range(-100, 400)]
     else:
         rows = [(i, [rng.gauss(0, 0.3) for _ in range(16)]) for i in range(700)]
-    rows += [(1000, None), (1001, []), (1002, [None, 1.0]), (1050, [float("nan")] * 4), (1003, [float("inf")] * 16), (None, [1.0] * 4), rows[0], (rows[0][0], [0.1] * 4)]
+    rows += [(1000, None), (1001, []), (1002, [None, 1.0]), (1050, [float("nan")] * 4), (1003, [float("inf")] * 16), (7, rows[0][1]), (None, [1.0] * 4), rows[0], (rows[0][0], [0.1] * 4)]
     return rows
 
 
 @pytest.mark.parametrize("kind", [1, 2])
 def test_matches_brute_force(spark, monkeypatch, kind):
     monkeypatch.setattr(topk, "CANDIDATES", 150)
-    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "FIRST", 20)
+    if kind == 1:
+        monkeypatch.setattr(topk, "SENT", 9)
     rows = table(kind)
     df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], SCHEMA).repartition(3)
     got = topk.top_k(df).collect()
@@ -60,11 +64,41 @@ def test_values_beyond_doubles_products(spark):
     assert [(r.vec_id, r.score) for r in got] == [(1, first + 65536), (2, first - 65536)]
 
 
-def test_bounds_prune():
-    rng = np.random.default_rng(0)
-    vectors = np.floor(rng.normal(0, 80, (500, 4)))
-    found = topk.best(vectors[:3], np.arange(3), vectors, np.arange(500), 5)
-    for q in range(3):
-        scores = vectors @ vectors[q]
-        want = sorted((-scores[i], i) for i in range(500) if i != q)[:5]
-        assert [(i, s) for p, i, s in found if p == q] == [(i, -s) for s, i in want]
+def ask(vectors, ids, queries, k=5, block=10**9):
+    held, read = [[] for _ in queries], 0
+    for at in range(0, len(ids), block):
+        lists = topk.Lists(vectors[at : at + block], ids[at : at + block])
+        read += topk.answer(lists, vectors[queries], ids[queries], held, k, True)
+    return held, read
+
+
+@pytest.mark.parametrize("width", [1, 4, 24])
+def test_reading_stops_early_and_is_exact(width):
+    rng = np.random.default_rng(width)
+    vectors, ids = np.floor(rng.normal(0, 80, (3000, width))), np.arange(3000)
+    queries = np.arange(0, 3000, 300)
+    for block in (10**9, 700):
+        held, read = ask(vectors, ids, queries, block=block)
+        for q, own in zip(queries, held):
+            scores = vectors @ vectors[q]
+            want = sorted((-scores[i], i) for i in range(3000) if i != q)[:5]
+            assert own == [(-s, i) for s, i in want]
+        assert read < 0.9 * len(queries) * vectors.size
+
+
+def test_supplied_vectors_are_not_read_whole():
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"])
+    vectors = np.floor(256 * np.array(table.column("embedding").to_pylist(), float))
+    ids = table.column("vec_id").to_numpy()
+    held, read = ask(vectors, ids, np.flatnonzero(ids % 50 == 0))
+    share = read / (len(held) * vectors.size)
+    print("share of the entries read", share)
+    assert share < 1
+
+
+def test_components_beyond_doubles(spark):
+    rows = [(0, [1e308, 1.0]), (1, [1e308, 1.0]), (2, [-1e308, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (2, -(2**63))]
