@@ -104,8 +104,13 @@ def state_changing(kind: Column, decision: Column) -> Column:
     return F.coalesce((kind == "direct_edit") | ((kind == "resolution") & (decision == "accepted")), F.lit(False))
 
 
-def applied_payload(kind: Column, after: Column, proposed: Column, applied: Column) -> Column:
-    return F.when(kind == "resolution", F.coalesce(applied, proposed)).otherwise(after)
+def applied_payload(kind: Column, after: Column, proposed: Column, applied: Column, has_applied: Column | None = None) -> Column:
+    """What an event put into the document. An ``applied`` that is there wins over the proposal, even as a null.
+
+    ``has_applied`` tells whether the event has the field; without it, a null counts as absent.
+    """
+    has = applied.isNotNull() if has_applied is None else has_applied
+    return F.when(kind == "resolution", F.when(has, applied).otherwise(proposed)).otherwise(after)
 
 
 def rgb(value: Column) -> Column:
@@ -119,9 +124,14 @@ def rgb(value: Column) -> Column:
     )
 
 
-def protect_markdown(text: Column) -> Column:
-    """Markdown's special characters behind backslashes."""
-    return F.regexp_replace(text, r"([\\`*_\[\]<>])", r"\\$1")
+def protect_markdown(text: Column, in_table: bool = False) -> Column:
+    """Markdown's special characters behind backslashes, also what would open a block at the start of a line."""
+    out = F.regexp_replace(text, r"([\\`*_\[\]~&<])", r"\\$1")
+    if in_table:
+        return F.replace(out, F.lit("|"), F.lit("\\|"))
+    # ordered marks are escaped at their punctuation
+    out = F.regexp_replace(out, r"(?md)^([^\S\n]{0,3}\d{1,9})([.)])(?=\s|$)", r"$1\\$2")
+    return F.regexp_replace(out, r"(?md)^([^\S\n]{0,3})(?=#{1,6}(?:\s|$)|[>+-](?:\s|$)|(?:-[^\S\n]*){3,}$|=+[^\S\n]*$|-+[^\S\n]*$)", r"$1\\")
 
 
 def code_fence(code: Column) -> Column:
@@ -136,15 +146,24 @@ def elide_data(markup: Column) -> Column:
 
 
 def format_number(n: Column, style: str) -> Column:
-    """A list number in decimal, letters (a, b, .. z, aa, bb) or roman figures."""
-    if style == "decimal":
-        return n.cast("string")
+    """A list number in decimal, letters (a .. z, aa, ab) or roman figures; nothing for bullets, decimal for other styles.
+
+    Letters and figures of numbers below one are empty.
+    """
+    if style in ("bullet", "none"):
+        return F.when(n.isNotNull(), "")
     if style in ("lowerLetter", "upperLetter"):
-        letter = F.char(F.lit(97 if style == "lowerLetter" else 65) + (n - 1) % 26)
-        return F.when(n > 0, F.repeat(letter, ((n - 1) / 26).cast("int") + 1)).otherwise(n.cast("string"))
+        first = F.lit(97 if style == "lowerLetter" else 65)
+        start = F.struct(n.cast("long").alias("left"), F.lit("").alias("out"))
+        # digits from 1 to 26, the last one first; 14 of them hold any long
+        digit = lambda a: F.concat(F.char(first + F.pmod(a["left"] - 1, F.lit(26))), a["out"])
+        more = lambda a, _: F.struct(F.when(a["left"] > 0, F.floor((a["left"] - 1) / 26)).otherwise(F.lit(0)).alias("left"), F.when(a["left"] > 0, digit(a)).otherwise(a["out"]).alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, more, lambda a: a["out"])
+    if style not in ("lowerRoman", "upperRoman"):
+        return n.cast("string")
     figures = [(1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")]
     table = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(s).alias("s")) for k, s in figures])
     start = F.struct(n.cast("long").alias("left"), F.lit("").alias("out"))
     step = lambda a, f: F.struct((a["left"] % f["k"]).alias("left"), F.concat(a["out"], F.repeat(f["s"], F.floor(a["left"] / f["k"]).cast("int"))).alias("out"))
-    roman = F.aggregate(table, start, step, lambda a: a["out"])
-    return F.when((n > 0) & (n < 4000), F.upper(roman) if style == "upperRoman" else roman).otherwise(n.cast("string"))
+    roman = F.when(n > 0, F.aggregate(table, start, step, lambda a: a["out"])).otherwise("")
+    return F.upper(roman) if style == "upperRoman" else roman

@@ -75,8 +75,50 @@ THEME_SLOTS = {
 }
 THEME_VALUES = {"color": r"^(#[0-9a-f]{3}|#[0-9a-f]{6}|rgb\(\d{1,3}, ?\d{1,3}, ?\d{1,3}\))$", "font-stack": r"^[A-Za-z0-9 ,'\-]+$"}
 
+# classes: the parts of their names; the last of each pair joins every prefix with every step
+TEXT_SIZES = ["xs", "sm", "base", "lg", "xl", "2xl", "3xl", "4xl", "5xl", "6xl", "7xl", "8xl", "9xl"]
+ALIGNMENTS = ["left", "center", "right", "justify"]
+FONT_WEIGHTS = ["normal", "medium", "semibold", "bold"]
+LEADINGS = ["tight", "snug", "normal", "relaxed"]
+SHADES = {"gray": ["50", "100", "200", "300", "400", "500", "600", "700", "800", "900"], "red": ["50", "600"], "green": ["50", "600"], "amber": ["50", "600"]}
+PAINTED, BRANDS = ["text", "bg", "border"], 4
+SPACING = (["m", "mt", "mb", "ml", "mr", "mx", "my", "p", "pt", "pb", "pl", "pr", "px", "py"], ["0", "1", "2", "3", "4", "6", "8", "10", "12", "16"])
+SINGLES = [
+    "italic", "underline", "line-through", "uppercase", "tracking-tight", "tracking-wide", "font-heading", "font-body", "font-mono", "text-white", "bg-white",
+    "border", "border-t", "border-b", "rounded", "rounded-md", "rounded-lg", "rounded-full", "shadow", "list-none", "list-disc", "list-decimal",
+]
+LIST_FORMATS = ["list-lower-alpha", "list-upper-alpha", "list-lower-roman", "list-upper-roman"]
+LIST_SUFFIXES, MARKERS, NUM_LEVELS = ["list-paren", "list-bare"], ["num-restart", "list-multilevel"], 9
+PLACEMENT = {"num": ["p", "h1", "h2", "h3", "h4", "h5", "h6"], "list": ["ol", "ul"]}
+
+# what came after the first version
+CLASS_FLOORS = {"text-justify": "0.4", "text-7xl": "0.4", "text-8xl": "0.4", "text-9xl": "0.4"}
+NUMBERING_FLOOR = "0.5"
+ATTRIBUTE_FLOORS = {"data-aim-num-prefix": "0.5", "start": "0.5"}
+PAINT, PAINT_FLOOR = ["color", "background-color", "border-color"], "0.3"
+TYPOGRAPHY, TYPOGRAPHY_FLOOR = ["font-size", "font-family"], "0.4"
+
+
+def numbering_classes() -> list[str]:
+    return [*(f"num-{i}" for i in range(1, NUM_LEVELS + 1)), *LIST_FORMATS, *LIST_SUFFIXES, *MARKERS]
+
+
+def classes() -> list[str]:
+    """Every class of the closed vocabulary."""
+    colours = [*(f"{family}-{shade}" for family, shades in SHADES.items() for shade in shades), *(f"brand-{i}" for i in range(1, BRANDS + 1))]
+    made = [f"text-{x}" for x in TEXT_SIZES + ALIGNMENTS] + [f"font-{x}" for x in FONT_WEIGHTS] + [f"leading-{x}" for x in LEADINGS]
+    made += [f"{use}-{x}" for use in PAINTED for x in colours] + [f"{use}-{step}" for use in SPACING[0] for step in SPACING[1]]
+    return [*made, *SINGLES, *numbering_classes()]
+
+
+def class_floor(name: str) -> str | None:
+    """The version that brought a class, null for the first."""
+    return CLASS_FLOORS.get(name) or (NUMBERING_FLOOR if name in numbering_classes() else None)
+
+
 # pages, in millimetres
 PAGE_SIZES = {"A3": (297.0, 420.0), "A4": (210.0, 297.0), "A5": (148.0, 210.0), "Letter": (215.9, 279.4), "Legal": (215.9, 355.6), "Tabloid": (279.4, 431.8)}
+PAGE_DEFAULT = {"size": "A4", "orientation": "portrait", "margin": "15mm"}
 ORIENTATIONS = ["portrait", "landscape"]
 MARGIN = r"^\d+(\.\d+)?mm$"
 LARGEST_MARGIN, NEAR_SIZE = 100.0, 1.5

@@ -10,21 +10,30 @@ from foliant.functions.scalars import asset_id
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 
-def contents(constructs: DataFrame) -> DataFrame:
+def contents(constructs: DataFrame, inside: DataFrame) -> DataFrame:
     """``doc_id, ord, title, level, chunks`` from ``doc_id, ord, id, tag, text``.
 
     A heading begins a section; a slide is an entry of its own and ends the section, so what
-    follows it begins one without title, as does what comes before any heading.
+    follows it begins one without title, as does what comes before any heading. A slide's
+    title is its first heading, and its chunks are itself and its children with an id.
+    ``inside`` has the elements within slides: ``doc_id, ord`` of the slide, ``at`` (their
+    order), ``depth`` (1 for children), ``id, tag, text``.
     """
     order = Window.partitionBy("doc_id").orderBy("ord")
     slide = F.col("tag") == "aim-slide"
+    heading = F.when(F.col("tag").isin(HEADINGS), F.struct("at", F.col("text").alias("title")))
+    child = F.when((F.col("depth") == 1) & (F.col("id").isNotNull()), F.struct("at", "id"))
+    within = inside.groupBy("doc_id", "ord").agg(F.min(heading)["title"].alias("heading"), F.array_sort(F.collect_list(child)).alias("children"))
+    own = constructs.join(within, ["doc_id", "ord"], "left")
     begins = F.col("tag").isin(HEADINGS) | slide | F.coalesce(F.lag(slide).over(order), F.lit(True))
-    numbered = constructs.withColumn("section", F.sum(begins.cast("int")).over(order))
-    first = F.min_by(F.struct("tag", "text"), "ord")
+    numbered = own.withColumn("section", F.sum(begins.cast("int")).over(order))
+    first = F.min_by(F.struct("tag", "text", "heading", "children"), "ord")
     found = numbered.groupBy("doc_id", "section").agg(first.alias("f"), F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("own"))
-    titled = F.col("f.tag").isin([*HEADINGS, "aim-slide"])
-    level = F.when(F.col("f.tag").isin(HEADINGS), F.substr("f.tag", F.lit(2), F.lit(1)).try_cast("int")).otherwise(1)
-    return found.select("doc_id", F.col("section").alias("ord"), F.when(titled, F.col("f.text")).otherwise("").alias("title"), level.alias("level"), F.col("own.id").alias("chunks"))
+    is_slide, is_heading = F.col("f.tag") == "aim-slide", F.col("f.tag").isin(HEADINGS)
+    level = F.when(is_heading, F.substr("f.tag", F.lit(2), F.lit(1)).try_cast("int")).otherwise(1)
+    title = F.when(is_heading, F.col("f.text")).when(is_slide, F.coalesce("f.heading", F.lit(""))).otherwise("")
+    chunks = F.when(is_slide & F.col("f.children").isNotNull(), F.concat(F.col("own.id"), F.col("f.children.id"))).otherwise(F.col("own.id"))
+    return found.select("doc_id", F.col("section").alias("ord"), title.alias("title"), level.alias("level"), chunks.alias("chunks"))
 
 
 def stale_vectors(vectors: DataFrame, chunks: DataFrame) -> DataFrame:

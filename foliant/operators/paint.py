@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.lineage import kept
 from foliant.functions.scalars import rgb
 
 SIDES = ["top", "right", "bottom", "left"]
@@ -31,20 +32,21 @@ def cascade(declarations: DataFrame) -> DataFrame:
 def inherited(nodes: DataFrame, won: DataFrame, prop: str = "color") -> DataFrame:
     """``doc_id, node_id, value`` with a parent's value where a node has none of its own.
 
-    Goes up one level at a time, all nodes at once; ends when no node is still looking.
+    Nodes that are still looking ask the node they look at for its value, or else for where
+    that one looks: each round doubles the way, so the rounds grow with the logarithm of the
+    depth. Every round is written to the shared folder. A cycle of parents is an error.
     """
     own = won.where(F.col("prop") == prop).select("doc_id", "node_id", "value")
-    looking = nodes.where(F.col("kind") == "element").select("doc_id", "node_id", F.col("node_id").alias("at"))
-    parents = nodes.select("doc_id", F.col("node_id").alias("at"), "parent_id")
-    out = None
-    for _ in range(nodes.count() + 1):
-        met = looking.join(own.withColumnRenamed("node_id", "at"), ["doc_id", "at"], "left").localCheckpoint()
-        hit = met.where("value is not null").select("doc_id", "node_id", "value")
-        out = hit if out is None else out.unionByName(hit)
-        looking = met.where("value is null").select("doc_id", "node_id", "at").join(parents, ["doc_id", "at"]).where("parent_id >= 0")
-        looking = looking.select("doc_id", "node_id", F.col("parent_id").alias("at"))
-        if looking.isEmpty():
-            break
-    else:
-        raise ValueError("the parents of some nodes form a cycle")
-    return out
+    elements = nodes.where(F.col("kind") == "element").select("doc_id", "node_id", F.col("parent_id").alias("at"))
+    state = kept(elements.join(own, ["doc_id", "node_id"], "left"))
+    rounds = max(1, state.count()).bit_length() + 1
+    for _ in range(rounds):
+        looking = (F.col("value").isNull()) & (F.col("at") >= 0)
+        if state.where(looking).isEmpty():
+            return state.where("value is not null").select("doc_id", "node_id", "value")
+        asked = state.select("doc_id", F.col("node_id").alias("at"), F.col("value").alias("there"), F.col("at").alias("next"))
+        met = state.where(looking).join(asked, ["doc_id", "at"], "left")
+        # a parent that is no node is the end of the way
+        met = met.select("doc_id", "node_id", F.coalesce("next", F.lit(-1)).alias("at"), F.col("there").alias("value"))
+        state = kept(state.where(~looking).unionByName(met))
+    raise ValueError("the parents of some nodes form a cycle")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import scalars as s
+from foliant.functions.lineage import kept
 from foliant.operators import caches, history, lane, layout, paint, reconcile, rules, views
+from foliant.plans.cases import CASES
 from foliant.sources import adapters, markup
 from foliant.sources.adapters import table
 
@@ -29,7 +30,7 @@ LOG = """
 """
 CARDS = """
     cards as (
-        select l.doc_id, row_number() over (partition by l.doc_id % 16 order by l.doc_id) as card_ord, l.doc_id as target, 'modify' as action,
+        select l.doc_id, l.doc_id as card_ord, l.doc_id as target, 'modify' as action,
             case when quality = 1 then 'accepted' else 'rejected' end as decision, b.text as proposed, case when toxic = 1 then b.text || ' (edited)' end as applied
         from labels l join benchmark b on b.item_id = l.doc_id % (select count(*) from benchmark)
     )
@@ -46,14 +47,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder: parsed once, read by many rules."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-"))
-    return df.checkpoint(eager=True)
-
-
 def _log(spark: SparkSession, d: str) -> DataFrame:
     return adapters.event_log(table(spark, d, "events"))
 
@@ -178,11 +171,22 @@ def color_rgb(spark, d):
 
 
 @query("""
-    select event_id, cast(user_id + 1 as varchar) as decimal, repeat(chr(97 + cast(user_id % 26 as int)), cast(user_id // 26 + 1 as int)) as letter from events
+    with e as (select event_id, user_id + 1 as n, (event_id * 7) % 4100 as r from events)
+    select event_id, cast(n as varchar) as decimal,
+        case when n <= 26 then chr(cast(96 + n as int)) when n <= 702 then chr(cast(96 + (n - 1) // 26 as int)) || chr(cast(97 + (n - 1) % 26 as int))
+            when n <= 18278 then chr(cast(97 + (n - 703) // 676 as int)) || chr(cast(97 + (n - 703) // 26 % 26 as int)) || chr(cast(97 + (n - 703) % 26 as int))
+            else chr(cast(97 + (n - 18279) // 17576 as int)) || chr(cast(97 + (n - 18279) // 676 % 26 as int)) || chr(cast(97 + (n - 18279) // 26 % 26 as int)) || chr(cast(97 + (n - 18279) % 26 as int)) end as letter,
+        repeat('M', cast(r // 1000 as int)) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][cast(r // 100 % 10 + 1 as int)]
+            || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][cast(r // 10 % 10 + 1 as int)] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][cast(r % 10 + 1 as int)] as roman,
+        '' as bullet
+    from e
 """)
 def list_numbers(spark, d):
     n = F.col("user_id") + 1
-    return table(spark, d, "events").select("event_id", s.format_number(n, "decimal").alias("decimal"), s.format_number(n, "lowerLetter").alias("letter"))
+    r = (F.col("event_id") * 7) % 4100
+    return table(spark, d, "events").select(
+        "event_id", s.format_number(n, "decimal").alias("decimal"), s.format_number(n, "lowerLetter").alias("letter"), s.format_number(r, "upperRoman").alias("roman"), s.format_number(n, "bullet").alias("bullet"),
+    )
 
 
 @query("""
@@ -507,16 +511,28 @@ def gc_assets(spark, d):
 _TAG = "case when role = 'system' then 'aim-slide' when turn % 4 = 1 then 'h2' else 'p' end"
 
 
+#: What stands within a slide: a child, a heading further down, and a heading that is a child.
+_INSIDE = "array(named_struct('at', 1, 'depth', 1, 'id', turn + 1000, 'tag', 'p', 'text', 'x'), named_struct('at', 3, 'depth', 1, 'id', turn + 2000, 'tag', 'h2', 'text', substr(text, 1, 9)), named_struct('at', 2, 'depth', 2, 'id', cast(null as bigint), 'tag', case when conv_id % 2 = 0 then 'h3' else 'span' end, 'text', concat('deep ', turn)))"
+
+
 @query(f"""
-    with c as (select conv_id as doc_id, turn as ord, turn as id, {_TAG} as tag, role as text from conversations),
-    b as (select *, case when tag in ('h2', 'aim-slide') or coalesce(lag(tag) over w = 'aim-slide', true) then 1 else 0 end as begins from c window w as (partition by doc_id order by ord)),
-    g as (select *, sum(begins) over (partition by doc_id order by ord) as section from b)
-    select doc_id, cast(section as bigint) as ord, case when arg_min(tag, ord) in ('h2', 'aim-slide') then arg_min(text, ord) else '' end as title,
-        case when arg_min(tag, ord) = 'h2' then 2 else 1 end as level, string_agg(cast(id as varchar), ',' order by ord) as chunks from g group by doc_id, section
+    with c as (select conv_id as doc_id, turn as ord, turn as id, {_TAG} as tag, text from conversations),
+    t as (select *, sum(case when tag in ('h2', 'aim-slide') then 1 else 0 end) over (partition by doc_id order by ord) as starts,
+        sum(case when tag = 'aim-slide' then 1 else 0 end) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding) as slides_before from c),
+    g as (select doc_id, case when tag = 'aim-slide' then 'slide' when starts > 0 and exists (select 1 from c h where h.doc_id = t.doc_id and h.ord <= t.ord and h.tag = 'h2'
+        and not exists (select 1 from c x where x.doc_id = t.doc_id and x.tag = 'aim-slide' and x.ord > h.ord and x.ord < t.ord)) then 'titled' else 'bare' end as kind,
+        case when tag = 'aim-slide' then starts * 2 else starts * 2 + 1 end as part, ord, id, tag, text from t),
+    e as (select doc_id, part, any_value(kind) as kind, min(ord) as first, string_agg(cast(id as varchar), ',' order by ord) as own from g group by doc_id, part),
+    n as (select *, row_number() over (partition by doc_id order by first) as place from e)
+    select n.doc_id, n.place as ord, case n.kind when 'slide' then case when n.doc_id % 2 = 0 then 'deep ' || n.first else substr(c.text, 1, 9) end when 'titled' then case when c.tag = 'h2' then c.text else '' end else '' end as title,
+        case when c.tag = 'h2' then 2 else 1 end as level, case n.kind when 'slide' then own || ',' || (n.first + 1000) || ',' || (n.first + 2000) else own end as chunks
+    from n join c on c.doc_id = n.doc_id and c.ord = n.first
 """)
 def toc_sections(spark, d):
-    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.col("turn").alias("id"), F.expr(_TAG).alias("tag"), F.col("role").alias("text"))
-    return caches.contents(rows).withColumn("chunks", F.array_join(F.transform("chunks", lambda x: x.cast("string")), ","))
+    turns = table(spark, d, "conversations").withColumn("tag", F.expr(_TAG))
+    rows = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.col("turn").alias("id"), "tag", "text")
+    inside = turns.where("tag = 'aim-slide'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.inline(F.expr(_INSIDE)))
+    return caches.contents(rows, inside).withColumn("chunks", F.array_join(F.transform("chunks", lambda x: x.cast("string")), ","))
 
 
 @query("select conv_id as doc_id, 'sha256:' || sha256(string_agg(replace(text, chr(10), ' '), chr(10) order by turn) || chr(10)) as hash from conversations group by conv_id")
@@ -543,15 +559,33 @@ def numbering_labels(spark, d):
     return layout.number_labels(items).select("doc_id", "ord", "number", "label")
 
 
+#: Texts with what Markdown would read as blocks at the start of a line.
+_OPENER = "concat(array('', '# ', '- ', '3. ', '---', '+ ', '> ', '12) ', '== ', '1.5 ', '####### ', '   * ')[turn % 12], text)"
+
+
 @query(f"""
-    with c as (select conv_id as doc_id, turn as ord, {_TAG} as tag, regexp_replace(text, '([\\\\`*_\\[\\]<>])', '\\\\\\1', 'g') as text from conversations)
-    select doc_id, string_agg(case when tag = 'h2' then '## ' || text else replace(text, chr(10), '  ' || chr(10)) end, chr(10) || chr(10) order by ord) as markdown from c group by doc_id
+    with c as (select conv_id as doc_id, turn as ord, {_TAG} as tag, ['', '# ', '- ', '3. ', '---', '+ ', '> ', '12) ', '== ', '1.5 ', '####### ', '   * '][turn % 12 + 1] || text as text from conversations),
+    l as (select *, list_transform(string_split(regexp_replace(text, '([\\\\`*_\\[\\]~&<])', '\\\\\\1', 'g'), chr(10)),
+        lambda x: case when regexp_matches(x, '^\\s{{0,3}}\\d{{1,9}}[.)](\\s|$)') then regexp_replace(x, '^(\\s{{0,3}}\\d{{1,9}})([.)])', '\\1\\\\\\2')
+            when regexp_matches(x, '^\\s{{0,3}}((#{{1,6}}|[>+-])(\\s|$)|(-\\s*){{3,}}$|=+\\s*$|-+\\s*$)') then regexp_replace(x, '^(\\s{{0,3}})', '\\1\\\\') else x end) as lines from c)
+    select doc_id, string_agg(case when tag = 'h2' then '## ' || array_to_string(lines, chr(10)) else array_to_string(lines, '  ' || chr(10)) end, chr(10) || chr(10) order by ord) as markdown from l group by doc_id
 """)
 def markdown_export(spark, d):
-    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.expr(_TAG).alias("tag"), "text")
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.expr(_TAG).alias("tag"), F.expr(_OPENER).alias("text"))
     return layout.to_markdown(rows)
 
 
+@query("""
+    select event_id, case when event_type = 'error' then case when user_id % 3 = 0 then null when user_id % 3 = 1 then 'tweak' else 'proposal' end else 'after' end as payload from events
+""")
+def applied_payloads(spark, d):
+    rows = table(spark, d, "events").withColumn("e", F.expr("parse_json(case user_id % 3 when 0 then '{\"applied\": null, \"proposed\": \"proposal\"}' when 1 then '{\"applied\": \"tweak\", \"proposed\": \"proposal\"}' else '{\"proposed\": \"proposal\"}' end)"))
+    get = lambda k: F.try_variant_get("e", f"$.{k}", "string")
+    has = F.try_variant_get("e", "$.applied", "variant").isNotNull()
+    kind = F.when(F.col("event_type") == "error", "resolution").otherwise("direct_edit")
+    return rows.select("event_id", s.applied_payload(kind, F.lit("after"), get("proposed"), get("applied"), has).alias("payload"))
+
+
 @query("""
     with x as (select user_id as doc_id, cast(json_extract_string(props, '$.k') as int) as node_id, event_id % 3 as layer, event_id as ord,
         unnest(case when event_type = 'click' then ['border-top-color', 'border-right-color', 'border-bottom-color', 'border-left-color'] else ['background-color'] end) as prop,
@@ -587,7 +621,45 @@ def page_outline(spark, d):
 
 @query()
 def page_findings(spark, d):
-    return rules.findings(kept(markup.nodes(table(spark, d, "pages"))))
+    pages = table(spark, d, "pages")
+    return rules.findings(kept(markup.nodes(pages)), kept(markup.surfaces(pages)), markup.canonical(pages))
+
+
+@query()
+def page_surfaces(spark, d):
+    return markup.surfaces(table(spark, d, "pages"))
+
+
+@query()
+def flattened_pages(spark, d):
+    return markup.flattened(table(spark, d, "pages"))
+
+
+_SETUP = "case turn % 5 when 0 then '{}' when 1 then '{\"page\":{\"size\":\"A5\",\"orientation\":\"landscape\"}}' when 2 then concat('{\"page\":{\"margins\":{\"top\":\"', conv_id % 300, 'mm\",\"left\":\"', conv_id % 7, '.50mm\"}}}') when 3 then '{\"page\":{\"size\":\"B9\"}}' else 'x' end"
+
+
+@query("""
+    with s as (select conv_id * 100 + turn as doc_id, turn % 5 as k, conv_id as c from conversations),
+    g as (select doc_id, case k when 3 then 'D003' when 4 then 'D001' when 2 then case when c % 300 > 100 then 'D004' end end as problem, case when k = 1 then 210.0 else 210.0 end as w, case when k = 1 then 148.0 else 297.0 end as h,
+        case when k = 2 then c % 300 else 15 end as t, case when k = 2 then (c % 7) || '.5' else '15' end as l from s)
+    select doc_id, case when problem is null then '@page{size:' || cast(w as int) || 'mm ' || cast(h as int) || 'mm;margin:' || t || 'mm 15mm 15mm ' || l || 'mm}' end as css, problem from g
+""")
+def page_css(spark, d):
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("page_id"), F.expr(_SETUP).alias("s"))
+    html = F.concat(F.lit('<html><head><script type="application/aim-doc+json">'), F.col("s"), F.lit("</script></head><body></body></html>"))
+    setups = views.page_setup(markup.nodes(rows.select("page_id", html.alias("html"))))
+    return setups.join(views.page_css(setups), "doc_id", "left").select("doc_id", "css", "problem")
+
+
+@query("""
+    select conv_id * 100 + turn as doc_id, 'sha256:' || sha256('<html lang="en">' || chr(10) || '<p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' || chr(10)
+        || '<h2 data-aim="a">' || role || '</h2>' || chr(10)) as doc_hash from conversations
+""")
+def document_state_hash(spark, d):
+    escaped = s.escape_text(F.col("text"))
+    html = F.concat(F.lit('<html LANG="en"><head></head><body><p>'), escaped, F.lit('</p>\n<h2  data-aim="a">'), F.col("role"), F.lit("</h2></body></html>"))
+    pages = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("page_id"), html.alias("html"))
+    return views.document_hashes(markup.surfaces(pages))
 
 
 @query("""
@@ -601,6 +673,23 @@ def finding_counts(spark, d):
     return found.where(F.col("code").isin("S000", "S001", "S005", "X004", "H001")).groupBy("code").agg(F.count_distinct("doc_id").alias("docs"))
 
 
+_CASES = [(2 * k + bad, code, bool(bad)) for k, (code, *_) in enumerate(CASES) for bad in (0, 1)]
+
+
+@query(f"""
+    with c(k, code, found) as (values {", ".join(f"({k}, '{code}', {bad})" for k, code, bad in _CASES)})
+    select doc_id, code, found from documents join c on c.k = doc_id % {len(_CASES)}
+""")
+def rule_cases(spark, d):
+    """Every rule on a document that breaks it and one that does not, with the text of a document in it."""
+    made = spark.createDataFrame([(2 * k + bad, code, texts[1 - bad]) for k, (code, *texts) in enumerate(CASES) for bad in (0, 1)], "k long, code string, html string")
+    text = s.escape_text(F.regexp_replace("text", r"[\\x00-\\x1f]", " "))
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % len(_CASES)).alias("k"), text.alias("text"))
+    pages = kept(docs.join(F.broadcast(made), "k").select(F.col("doc_id").alias("page_id"), "code", F.replace("html", F.lit("@"), F.col("text")).alias("html")))
+    found = rules.findings(kept(markup.nodes(pages)), kept(markup.surfaces(pages)), markup.canonical(pages)).select(F.col("doc_id").alias("page_id"), "code", F.lit(True).alias("found")).distinct()
+    return pages.select("page_id", "code").join(found, ["page_id", "code"], "left").select(F.col("page_id").alias("doc_id"), "code", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 @query("select page_id as doc_id, len(regexp_extract_all(html, '<script')) as n from pages where contains(html, '</html>') and contains(html, '<script')")
 def script_blocks(spark, d):
     found = rules.node_rules(markup.nodes(table(spark, d, "pages")))

@@ -14,7 +14,7 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize(("n", "style", "text"), [(4, "lowerRoman", "iv"), (1994, "upperRoman", "MCMXCIV"), (0, "lowerRoman", "0"), (28, "lowerLetter", "bb"), (26, "upperLetter", "Z"), (7, "decimal", "7")])
+@pytest.mark.parametrize(("n", "style", "text"), [(4, "lowerRoman", "iv"), (1994, "upperRoman", "MCMXCIV"), (0, "lowerRoman", ""), (4000, "lowerRoman", "mmmm"), (28, "lowerLetter", "ab"), (703, "lowerLetter", "aaa"), (5, "bullet", ""), (5, "ordinal", "5"), (26, "upperLetter", "Z"), (7, "decimal", "7")])
 def test_numbers(spark, n, style, text):
     assert one(spark, s.format_number(F.lit(n), style)) == text
 
