@@ -10,8 +10,8 @@ from foliant.llm.lines import KEY, line_hashes
 
 #: A document has this many words at least, and no more than this share of them in repeated windows.
 LEAST_WORDS, MOST_REPEATS = 50, 50
-#: A line is common on a host when so many of its documents have it, and this share of them.
-LINE_DOCS, LINE_SHARE = 10, 0.005
+#: A line is common on a host when so many of its documents have it, and this share of them, or so many whatever the share.
+LINE_DOCS, LINE_SHARE, LINE_MOST = 10, 0.005, 100
 #: A document is depleted when less than this share of its characters, or fewer of them, are on other lines.
 LEAST_LEFT, LEAST_CHARS = 0.3, 200
 
@@ -91,14 +91,14 @@ def base_statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def line_depletion(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+def line_depletion(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_most: int = LINE_MOST) -> DataFrame:
     """``row, id, line_chars, common_chars``: code points on lines, and on those common on the document's host."""
     keyed = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.coalesce(host_col, F.lit("")).alias("host"), F.col(text_col).alias("text"))
     lines = line_hashes(keyed, "text", ["row", "id", "host"]).where("key_chars > 0")
     lines = lines.groupBy("row", "id", "host", *KEY).agg(F.sum("key_chars").alias("chars"))
     hosts = keyed.select("host", "row", "id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     found = lines.groupBy("host", *KEY).agg(F.count("*").alias("n")).where(F.col("n") >= line_docs)
-    common = found.join(hosts, "host").where(F.col("n") >= F.col("host_docs") * line_share).select("host", *KEY, F.lit(True).alias("common"))
+    common = found.join(hosts, "host").where(F.col("n") >= F.least(F.col("host_docs") * line_share, F.lit(line_most))).select("host", *KEY, F.lit(True).alias("common"))
     met = lines.join(common, ["host", *KEY], "left")
     return met.groupBy("row", "id").agg(
         F.sum("chars").alias("line_chars"), F.coalesce(F.sum(F.when(F.col("common"), F.col("chars"))), F.lit(0)).alias("common_chars")

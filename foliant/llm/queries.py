@@ -119,7 +119,7 @@ SQL: dict[str, str] = {
         hosts as (select host, count(*) as host_docs from d group by host),
         common as (
             select host, line_key from (select host, line_key, count(distinct doc_id) as n from k group by all) join hosts using (host)
-            where n >= 10 and n >= host_docs * 0.005
+            where n >= 10 and n >= least(host_docs * 0.005, 100)
         ),
         lost as (
             select doc_id, sum(length(line_key)) as chars, coalesce(sum(length(line_key)) filter (c.line_key is not null), 0) as gone

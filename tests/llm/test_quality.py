@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from foliant.llm import quality
 
 SCHEMA = "doc_id long, text string, source string, n_words int, row string, kept string"
@@ -27,7 +29,7 @@ def brute(rows):
         full = [x for x in t.split("\n") if WORD.search(x)]
         failed = len(words) < 50 or 100 * len(cover) > 50 * len(words)
         chars = sum(len(low(x)) for x in full)
-        common = sum(len(low(x)) for x in full if len(on[s or "", low(x)]) >= max(10, 0.005 * len(hosts[s or ""])))
+        common = sum(len(low(x)) for x in full if len(on[s or "", low(x)]) >= max(10, min(100, 0.005 * len(hosts[s or ""]))))
         left = chars - common
         out.append((
             d, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(full) - len(set(full)), len(cover), failed,
@@ -62,3 +64,12 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert quality.quality(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_template_of_a_very_large_host(spark):
+    """A line of some hundred documents is common however many other documents its host has."""
+    template = " ".join(f"template{i}" for i in range(60))
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(70)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(100000)))))
+    host = spark.range(60_000).select("id", F.when(F.col("id") < 150, F.concat(F.lit(template), F.lit("\nown "), F.col("id"))).otherwise(words).alias("text"), F.lit("big").alias("source"))
+    got = {r.doc_id: r.kept for r in quality.quality(host.withColumnRenamed("id", "doc_id")).where("doc_id < 300").collect()}
+    assert not any(got[i] for i in range(150)) and all(got[i] for i in range(150, 300))
