@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +16,27 @@ from pyspark.sql import functions as F
 from foliant.llm.common import cut, small_batches, tidy
 from foliant.llm.tokens import _held, json_coder
 
-#: Fillings tried around one largest piece, members of a filling found by search, and branches in all.
-FILLINGS, MEMBERS, BRANCHES = 12, 4, 2000
 
+
+class Limits(NamedTuple):
+    """Bounds of the search; without them it is exact, and only few pieces are feasible.
+
+    ``fillings`` kept around one largest piece, ``members`` of a filling found by search, ``near``
+    sizes tried for the next member, ``tops`` sizes tried for the first, ``steps`` of the search
+    for fillings, and ``branches`` in all. ``whole``: a filling is used as often as the pieces
+    allow, instead of once a branch.
+    """
+
+    fillings: float = 12
+    members: float = 4
+    near: float = 3
+    tops: float = 96
+    steps: float = 720
+    branches: float = 2000
+    whole: bool = True
+
+
+EXACT = Limits(*[math.inf] * 6, whole=False)
 Pattern = tuple[tuple[int, int], ...]  # lengths and how often, the largest first
 
 
@@ -53,11 +73,11 @@ def _best_fit(room: int, sizes: list[int], left: dict[int, int]) -> tuple[int, .
     return tuple(own)
 
 
-def fillings(room: int, left: dict[int, int], most: int = FILLINGS, members: int = MEMBERS) -> list[tuple[int, ...]]:
+def fillings(room: int, left: dict[int, int], limits: Limits = Limits()) -> list[tuple[int, ...]]:  # noqa: B008
     """Undominated fillings of ``room`` from the pieces left, the least waste first.
 
-    Up to ``members`` pieces are searched, in falling size; the best fit stands for
-    fillings of more, and completes those that leave room for small pieces.
+    Pieces are searched in falling size, within the limits; the best fit is always one of the
+    fillings. Without limits all fillings are met, but those that a fuller one dominates.
     """
     sizes = sorted(s for s, n in left.items() if n and s <= room)
     if not sizes:
@@ -67,30 +87,30 @@ def fillings(room: int, left: dict[int, int], most: int = FILLINGS, members: int
 
     def search(room: int, top: int, own: tuple[int, ...]) -> None:
         nonlocal steps
-        if len(found) >= 4 * most or steps > 60 * most:
+        if len(found) >= 4 * limits.fillings or steps > limits.steps:
             return
         steps += 1
         at = bisect.bisect_right(sizes, min(room, top))
         while at and left[sizes[at - 1]] <= own.count(sizes[at - 1]):
             at -= 1
-        if not at or len(own) == members:
-            if len(own) < members or not at:
+        if not at or len(own) == limits.members:
+            if len(own) < limits.members or not at:
                 found.add(own)
             return
         if room in left and left[room] > own.count(room) and room <= top:
             found.add((*own, room))  # nothing beats a full sequence from here
             return
-        for s in sizes[max(0, at - 3) : at][::-1]:
+        for s in sizes[max(0, at - min(at, limits.near)) : at][::-1]:
             if left[s] > own.count(s):
                 search(room - s, s, (*own, s))
 
     # every largest member in turn, down to what leaves most of the room open
-    for s in sizes[::-1][: 8 * most]:
+    for s in sizes[::-1][: min(len(sizes), limits.tops)]:
         search(room - s, s, (s,))
     ordered = sorted(found, key=lambda f: (room - sum(f), len(f), tuple(-x for x in f)))
     kept: list[tuple[int, ...]] = []
     for f in ordered:
-        if len(kept) == most:
+        if len(kept) == limits.fillings:
             break
         if not any(len(k) <= 8 and len(f) <= 8 and dominates(k, f) for k in kept):
             kept.append(f)
@@ -132,14 +152,15 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def plan_packing(counts: dict[int, int], capacity: int, branches: int = BRANCHES) -> list[tuple[Pattern, int]]:
+def plan_packing(counts: dict[int, int], capacity: int, limits: Limits = Limits()) -> list[tuple[Pattern, int]]:  # noqa: B008
     """Patterns and how often each is used, for ``counts`` pieces of each length.
 
     The incumbent is best fit. The search fills the sequence of the largest piece left by
     each of its undominated fillings, as often as the pieces allow, and goes on with what is
     left; a branch ends when what it wasted leaves no room for fewer sequences than the
-    incumbent's. It stops at the lower bound, or after ``branches``. The work depends on the
-    number of lengths, not of pieces.
+    incumbent's. It stops at the lower bound, or at the limits. The work depends on the
+    number of lengths, not of pieces. With ``EXACT`` every branch fills one sequence by every
+    undominated filling, so the plan has as few sequences as any; that is for few pieces.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
@@ -152,7 +173,7 @@ def plan_packing(counts: dict[int, int], capacity: int, branches: int = BRANCHES
 
     # depth first without recursion: what is left, the plan so far, its sequences and waste
     stack = [(counts, (), 0, 0)]
-    while stack and used > least and done < branches:
+    while stack and used > least and done < limits.branches:
         left, plan, bins, waste = stack.pop()
         if not left:
             if bins < used:
@@ -168,10 +189,10 @@ def plan_packing(counts: dict[int, int], capacity: int, branches: int = BRANCHES
         top = max(left)
         rest = dict(left)
         rest[top] -= 1
-        options = fillings(capacity - top, rest)
+        options = fillings(capacity - top, {s: n for s, n in rest.items() if n}, limits)
         for f in options[::-1]:
             pattern = Counter((top, *f))
-            times = min(left[s] // m for s, m in pattern.items())
+            times = min(left[s] // m for s, m in pattern.items()) if limits.whole else 1
             after = dict(left)
             _apply(after, pattern, times)
             lost = waste + (capacity - top - sum(f)) * times
@@ -241,7 +262,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
-    branches: int = BRANCHES,
+    limits: Limits = Limits(),  # noqa: B008
 ) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: the sequence of each, and its place there.
 
@@ -254,7 +275,7 @@ def pack(
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     rows = cut(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids))
     counts = rows.groupBy("length").agg(F.count("*").alias("n"))
-    places = Places(plan_packing({r.length: r.n for r in counts.collect()}, capacity, branches))
+    places = Places(plan_packing({r.length: r.n for r in counts.collect()}, capacity, limits))
     many = max(1, rows.count())
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(64, many // 50_000))))
     before = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))

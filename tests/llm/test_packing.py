@@ -34,6 +34,16 @@ def fewest(items, capacity):
     return best
 
 
+def test_without_limits_the_plan_is_optimal():
+    rng = random.Random(3)
+    for _ in range(60):
+        capacity = rng.choice([12, 30, 100])
+        items = [rng.randint(1, capacity * 2 // 3) for _ in range(rng.randint(1, 11))]
+        plan = packing.plan_packing(Counter(items), capacity, packing.EXACT)
+        assert sum(n for _, n in plan) == fewest(items, capacity)
+        assert Counter(s for pattern, times in plan for s, m in pattern for _ in range(m * times)) == Counter(items)
+
+
 def test_small_cases_are_optimal():
     rng = random.Random(1)
     for _ in range(60):
