@@ -45,6 +45,8 @@ PATH, WORDS, SHAPE = 96, 32, 8
 HIDDEN_UNITS = 16
 #: Bounds of the sample of pages that joins the made ones in training.
 SAMPLE_PAGES, SAMPLE_CHARS, MADE_PAGES = 200, 40_000, 500
+#: Blocks of a sampled page that are one example; its other blocks are others.
+TRAINED_BLOCKS = 150
 
 
 @dataclass
@@ -382,10 +384,11 @@ def learn(sample: list[str], made: int = MADE_PAGES, seed: int = 1) -> Labeller:
         page = made_page(rng)
         examples.append((vectors([b for b, _ in page]), np.array([y for _, y in page], np.float32)))
     for page in sample:
-        own = blocks(page)[:150]
-        y = np.array([rule(b) for b in own], np.float32)
-        if y.any():
-            examples.append((vectors(own), y))
+        whole = blocks(page)
+        labels = np.array([rule(b) for b in whole], np.float32)
+        if labels.any():  # a long page is several examples, so that training keeps to short sequences
+            for at in range(0, len(whole), TRAINED_BLOCKS):
+                examples.append((vectors(whole[at : at + TRAINED_BLOCKS]), labels[at : at + TRAINED_BLOCKS]))
     return train(examples, seed=seed)
 
 
