@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+import numpy as np
+
 from foliant.llm import toxicity
 
 SCHEMA = "doc_id long, text string, lang string, score string, toxic string"
@@ -51,3 +54,49 @@ def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity.score(docs, none).collect()] == [0]
     assert toxicity.score(docs.limit(0), none).collect() == []
+
+
+def test_ratios_and_fit_match_a_plain_version():
+    rows, labels = corpus(120)
+    texts, y = [t.encode() for _, t, *_ in rows], [k for _, k, _ in labels]
+    model = toxicity.fit(texts, y, features=60)
+    # n-grams by a plain rule, through the same hashed space
+    def plain(text):
+        own = b" " + b" ".join(text.lower().split()) + b" "
+        found = set()
+        for n in toxicity.SIZES:
+            for i in range(len(own) - n + 1):
+                doc, feature = toxicity.grams([own[i : i + n]], (n,))
+                found.add(int(feature[0]))
+        return found
+
+    sets = [plain(t) for t in texts]
+    pos, neg = sum(y), len(y) - sum(y)
+    p = {f: sum(f in s for s, k in zip(sets, y) if k) for f in model.features.tolist()}
+    q = {f: sum(f in s for s, k in zip(sets, y) if not k) for f in model.features.tolist()}
+    r = np.array([math.log((p[f] + 1) / (pos + 2)) - math.log((q[f] + 1) / (neg + 2)) for f in model.features.tolist()])
+    x = np.array([[float(f in s) for f in model.features.tolist()] for s in sets]) * r
+    w = np.divide(model.weights, r, out=np.zeros_like(r), where=r != 0)
+    # at the minimum of the regularised loss the gradient vanishes
+    gap = 1 / (1 + np.exp(-(x @ w + model.bias))) - np.array(y)
+    assert np.abs(x.T @ gap / len(y) + 1e-3 * w).max() < 1e-3 and abs(gap.mean()) < 1e-3
+    assert np.allclose(model.score(texts), 1 / (1 + np.exp(-(x @ w + model.bias))), atol=1e-9)
+
+
+def test_slices_change_nothing(monkeypatch):
+    rows, labels = corpus(200)
+    texts = [t.encode() for _, t, *_ in rows]
+    model = toxicity.fit(texts, [y for _, y, _ in labels])
+    long_text = b" ".join(texts)
+    whole = model.score([*texts, long_text])
+    monkeypatch.setattr(toxicity, "AT_ONCE", 1000)
+    assert np.array_equal(model.score([*texts, long_text]), whole)
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(2, "fine words " * 300_000), (6, "fine words " * 300_000 + "zorgle"), (3, "zorgle")], "doc_id long, text string")
+    rows, labels = corpus(400)
+    known = spark.createDataFrame([(1000 + 4 * i, t) for i, (_, t, *_) in enumerate(rows)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1000 + 4 * i, y) for i, (_, y, _) in enumerate(labels)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(known.unionByName(docs), marks).where("doc_id < 1000").collect()}
+    assert len(got) == 3 and got[6] > got[2]
