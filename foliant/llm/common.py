@@ -72,11 +72,26 @@ def small_batches(batches, rows: int = BATCH_ROWS, size: int = 8 << 20):
             yield batch.slice(at, step)
 
 
-def tidy(run):
-    """A function for mapInArrow, after which its worker, which other stages use too, gives back the memory that is free."""
+#: What a worker process makes once for all its tasks of one operator.
+HELD: dict = {}
+
+
+def held(key, make):
+    if key not in HELD:
+        HELD[key] = make()
+    return HELD[key]
+
+
+def tidy(run, keeps: bool = False):
+    """A function for mapInArrow, after which its worker, which other stages use too, gives back the memory that is free.
+
+    Unless it ``keeps`` what is held, that of other operators goes before it begins.
+    """
 
     @wraps(run)
     def tidied(batches):
+        if not keeps:
+            HELD.clear()
         try:
             yield from run(batches)
         finally:
@@ -86,3 +101,7 @@ def tidy(run):
                 trim(0)
 
     return tidied
+
+
+def tidy_keeping(run):
+    return tidy(run, keeps=True)

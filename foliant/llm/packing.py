@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, small_batches, tidy
-from foliant.llm.tokens import _held, json_coder
+from foliant.llm.common import cut, held, small_batches, tidy_keeping
+from foliant.llm.tokens import json_coder
 
 
 
@@ -231,9 +231,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     of that length, its first piece taking what does not fill one.
     """
 
-    @tidy
+    @tidy_keeping
     def run(batches):
-        coder = _held((tokenizer, "json"), lambda: json_coder(tokenizer))
+        coder = held((tokenizer, "json"), lambda: json_coder(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         for batch in small_batches(batches):
             rows: list[list] = [[], [], [], [], [], []]

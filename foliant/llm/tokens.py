@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import small_batches
+from foliant.llm.common import held, small_batches, tidy_keeping
 
 #: Unicode white space, as the pre-tokenizer understands it (fixed values).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -28,8 +28,8 @@ SEAM = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 SETTLED = re.compile("[\t\n\r -~\xa1-\u017f]*")
 #: The split of byte-level tokenizer files that use the built-in pattern (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Coded pieces that a worker keeps in each of two generations, their longest, and determinised states.
-MOST_PIECES, LONGEST, MOST_STATES = 150_000, 64, 400_000
+#: Coded pieces that a worker keeps in each of two generations, with the library and beside the transducer, their longest, and determinised states.
+MOST_PIECES, BESIDE, LONGEST, MOST_STATES = 700_000, 200_000, 64, 400_000
 #: Characters of a text that are split at once.
 SEGMENT = 1 << 18
 
@@ -203,13 +203,13 @@ def packed(ids: list[int]) -> bytes:
 class PieceCoder(dict):
     """Little-endian ids by piece of a text; coded when first met, and forgotten by generations.
 
-    When there are ``MOST_PIECES``, they become the old generation and the old one goes;
+    When there are ``most``, they become the old generation and the old one goes;
     a piece met again comes back. Pieces over ``LONGEST`` characters are not kept.
     """
 
-    def __init__(self, split, code):
+    def __init__(self, split, code, most: int):
         super().__init__()
-        self.split, self.code = split, code
+        self.split, self.code, self.most = split, code, most
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -217,7 +217,7 @@ class PieceCoder(dict):
         if found is None:
             found = packed(self.code(piece))
         if len(piece) <= LONGEST:
-            if len(self) >= MOST_PIECES:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[piece] = found
@@ -242,7 +242,7 @@ def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
 
 def bpe_coder(ranks: dict[bytes, int], pattern: str) -> PieceCoder:
     machine = BpeTransducer(ranks)
-    return PieceCoder(regex.compile(pattern).findall, lambda piece: machine.encode(piece.encode()))
+    return PieceCoder(regex.compile(pattern).findall, lambda piece: machine.encode(piece.encode()), BESIDE)
 
 
 def json_coder(path: str) -> PieceCoder:
@@ -268,7 +268,7 @@ def json_coder(path: str) -> PieceCoder:
             return split(text)
         return [x for part in PART.findall(text) for x in (split(part) if SETTLED.fullmatch(part) else (part,))]
 
-    return PieceCoder(pieces, lambda piece: own.encode(piece, add_special_tokens=False).ids)
+    return PieceCoder(pieces, lambda piece: own.encode(piece, add_special_tokens=False).ids, MOST_PIECES)
 
 
 class Utf8Stream:
@@ -339,16 +339,6 @@ def decode(ids: np.ndarray, tokens: dict[int, bytes], stream: Utf8Stream | None
     yield stream.finish()
 
 
-_CODERS: dict = {}
-
-
-def _held(key, make):
-    """What a worker process makes once for all its tasks."""
-    if key not in _CODERS:
-        _CODERS[key] = make()
-    return _CODERS[key]
-
-
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each text, with ``outputs`` also ``ids, decoded``.
 
@@ -357,10 +347,11 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     vocabulary file is read where the work is done, from the same path on every machine.
     """
 
+    @tidy_keeping
     def run(batches):
-        coder = _held((ranks_path, pattern), lambda: bpe_coder(load_ranks(ranks_path), pattern))
-        tokens = _held((ranks_path, "bytes"), lambda: {i: t for t, i in load_ranks(ranks_path).items()})
-        stream = _held((ranks_path, "stream"), lambda: Utf8Stream(tokens))
+        coder = held((ranks_path, pattern), lambda: bpe_coder(load_ranks(ranks_path), pattern))
+        tokens = held((ranks_path, "bytes"), lambda: {i: t for t, i in load_ranks(ranks_path).items()})
+        stream = held((ranks_path, "stream"), lambda: Utf8Stream(tokens))
         for batch in small_batches(batches):
             ids = [coder.encode(x or "") for x in batch.column(1).to_pylist()]
             decoded = [b"".join(decode(np.frombuffer(x, "<u4"), tokens, stream)) for x in ids]
