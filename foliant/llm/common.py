@@ -82,6 +82,14 @@ def held(key, make):
     return HELD[key]
 
 
+def give_back() -> None:
+    """Return free memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run, keeps: bool = False):
     """A function for mapInArrow, after which its worker, which other stages use too, gives back the memory that is free.
 
@@ -90,15 +98,13 @@ def tidy(run, keeps: bool = False):
 
     @wraps(run)
     def tidied(batches):
-        if not keeps:
+        if HELD and not keeps:
             HELD.clear()
+            give_back()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return tidied
 

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, held, small_batches, tidy_keeping
-from foliant.llm.tokens import json_coder
+from foliant.llm.common import cut, held, small_batches, tidy, tidy_keeping
+from foliant.llm.tokens import MOST_PIECES, json_coder
 
 
 
@@ -224,7 +224,7 @@ class Places:
         return base[at] + nth // m[at], offset[at] + nth % m[at] * length
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, kept: int = MOST_PIECES) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of each piece, and ``ids`` if asked for.
 
     A document is its ids and one ``end_id``. One longer than ``capacity`` is cut into pieces
@@ -233,7 +233,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
 
     @tidy_keeping
     def run(batches):
-        coder = held((tokenizer, "json"), lambda: json_coder(tokenizer))
+        coder = held((tokenizer, "json", kept), lambda: json_coder(tokenizer, kept))
         end = np.array([end_id], "<u4").tobytes()
         for batch in small_batches(batches):
             rows: list[list] = [[], [], [], [], [], []]
@@ -263,6 +263,7 @@ def pack(
     text_col: str = "text",
     with_ids: bool = False,
     limits: Limits = Limits(),  # noqa: B008
+    kept: int = MOST_PIECES,
 ) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: the sequence of each, and its place there.
 
@@ -270,10 +271,11 @@ def pack(
     patterns of lengths. Pieces of a length are numbered in salted groups, so that a length
     which very many share is no single group, and a pattern's places go by these numbers.
     A null text is the empty one: one piece that holds the end id alone. Equal rows are
-    packed each. Other columns are not read; an empty table gives an empty result.
+    packed each. Other columns are not read; an empty table gives an empty result. ``kept``
+    bounds the coded pieces of texts that a worker remembers; it bears on time and memory only.
     """
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    rows = cut(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids))
+    rows = cut(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids, kept))
     counts = rows.groupBy("length").agg(F.count("*").alias("n"))
     places = Places(plan_packing({r.length: r.n for r in counts.collect()}, capacity, limits))
     many = max(1, rows.count())
@@ -283,6 +285,7 @@ def pack(
     order = "row_number() over (partition by length, salt order by doc_id, piece, start, ids_crc32) - 1"
     ranked = salted.withColumn("nth", F.expr(order)).join(before, ["length", "salt"])
 
+    @tidy  # the coders have done their work
     def run(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -296,7 +299,7 @@ def pack(
             table = table.drop_columns(["rank"]).append_column("sequence_id", pa.array(where[0])).append_column("offset", pa.array(where[1]))
             yield from table.to_batches()
 
-    kept = [*cols, "ids"] if with_ids else cols
-    sent = ranked.select(*kept, (F.col("before") + F.col("nth")).cast("long").alias("rank"))
+    shown = [*cols, "ids"] if with_ids else cols
+    sent = ranked.select(*shown, (F.col("before") + F.col("nth")).cast("long").alias("rank"))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return sent.mapInArrow(run, f"{kinds}, sequence_id long, offset long")

@@ -245,7 +245,7 @@ def bpe_coder(ranks: dict[bytes, int], pattern: str) -> PieceCoder:
     return PieceCoder(regex.compile(pattern).findall, lambda piece: machine.encode(piece.encode()), BESIDE)
 
 
-def json_coder(path: str) -> PieceCoder:
+def json_coder(path: str, most: int = MOST_PIECES) -> PieceCoder:
     """A coder of a tokenizers file; the strings of special tokens are ordinary text.
 
     Where the file splits by the built-in pattern, settled texts are split so before the
@@ -268,7 +268,7 @@ def json_coder(path: str) -> PieceCoder:
             return split(text)
         return [x for part in PART.findall(text) for x in (split(part) if SETTLED.fullmatch(part) else (part,))]
 
-    return PieceCoder(pieces, lambda piece: own.encode(piece, add_special_tokens=False).ids, MOST_PIECES)
+    return PieceCoder(pieces, lambda piece: own.encode(piece, add_special_tokens=False).ids, most)
 
 
 class Utf8Stream:
