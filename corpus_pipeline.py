@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from foliant.llm import lines, packing, shingles, substrings, toxicity
 from foliant.llm.common import checkpoint_folder, read_table, remove_folder
 
+#: Coded pieces that a worker remembers while packing: less than the operator's own, for workers that serve all stages.
+KEPT_PIECES = 250_000
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -59,7 +62,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences; a null text is one piece that holds the end id."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2, kept=KEPT_PIECES)
 
 
 STAGES = [
