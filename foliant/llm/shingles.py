@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -290,6 +292,7 @@ def links(docs: DataFrame, rows: DataFrame, width: int = 5) -> DataFrame:
         fresh = cut(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
         edges = edges.unionByName(_similar(fresh, docs, nodes, width))
         tested, before = tested.unionByName(fresh), pairs
+        gc.collect()  # the driver lets go of the plans of this round
     return connected_components(edges)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import as_bytes, small_batches, tidy
+from foliant.llm.common import as_bytes, give_back, small_batches, tidy
 from foliant.llm.descent import descend
 
 #: Lengths of the n-grams in bytes, and the hashed feature space as a power of two.
@@ -112,18 +112,22 @@ def fit(texts: list[bytes], labels: list[int], features: int = FEATURES, alpha:
         feature = pairs & ((1 << SPACE_BITS) - 1)
         for c in (0, 1):
             np.add.at(seen[c], feature[of == c], 1)
-    met = np.flatnonzero(seen.sum(axis=0) > 1)
-    q, p = seen[0][met].astype(float), seen[1][met].astype(float)
-    rate = (p + q) / (pos + neg)
+    met = np.flatnonzero(seen[0] + seen[1] > 1)
 
-    def gain(k, n):
+    def gain(k, n, rate):
         own = np.clip(k / n, 1e-12, 1 - 1e-12)
         whole = np.clip(rate, 1e-12, 1 - 1e-12)
         return k * np.log(own / whole) + (n - k) * np.log((1 - own) / (1 - whole))
 
-    strength = gain(p, pos) + gain(q, neg)
+    strength = np.empty(len(met))
+    for at in range(0, len(met), 1 << 16):  # a few features at a time: the driver's memory is small
+        q, p = (seen[c][met[at : at + (1 << 16)]].astype(float) for c in (0, 1))
+        rate = (p + q) / (pos + neg)
+        strength[at : at + (1 << 16)] = gain(p, pos, rate) + gain(q, neg, rate)
     best = np.sort(np.argsort(-strength, kind="stable")[:features])
-    r = np.log((p[best] + alpha) / (pos + 2 * alpha)) - np.log((q[best] + alpha) / (neg + 2 * alpha))
+    q, p = (seen[c][met[best]].astype(float) for c in (0, 1))
+    del seen, strength
+    r = np.log((p + alpha) / (pos + 2 * alpha)) - np.log((q + alpha) / (neg + 2 * alpha))
     chosen = met[best]
     known = np.full(1 << SPACE_BITS, -1, np.int32)
     known[chosen] = np.arange(len(chosen))
@@ -182,6 +186,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     model = fit(*sample(docs, labels, id_col, text_col, label_col, **bounds))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    give_back()
 
     @tidy
     def run(batches):
