@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import SPACE_CLASS, SPACES, row_key
+from foliant.llm.common import SPACE_CLASS, SPACES, cut, row_key
 from foliant.llm.lines import KEY, line_hashes
 
 #: A document has this many words at least, and no more than this share of them in repeated windows.
@@ -14,6 +14,8 @@ LEAST_WORDS, MOST_REPEATS = 50, 50
 LINE_DOCS, LINE_SHARE, LINE_MOST = 10, 0.005, 100
 #: A document is depleted when less than this share of its characters, or fewer of them, are on other lines.
 LEAST_LEFT, LEAST_CHARS = 0.3, 200
+#: Hashes of lines that are sent to every task at most.
+SENT = 1 << 20
 
 
 def _let(value: Column, body) -> Column:
@@ -91,18 +93,30 @@ def base_statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def line_depletion(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_most: int = LINE_MOST) -> DataFrame:
-    """``row, id, line_chars, common_chars``: code points on lines, and on those common on the document's host."""
+def line_depletion(
+    docs: DataFrame, id_col: str, text_col: str, host_col: str,
+    line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_most: int = LINE_MOST, sent: int = SENT,
+) -> DataFrame:
+    """``row, id, host, common_chars``: code points on lines that are common on the host, for documents that have some.
+
+    Lines are first counted as often as they occur, by one hash of the line and its host. Only
+    those that occur ``line_docs`` times may be common, so they alone are then counted by
+    documents. Their hashes are sent to the tasks if they are at most ``sent``, else joined.
+    """
     keyed = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.coalesce(host_col, F.lit("")).alias("host"), F.col(text_col).alias("text"))
-    lines = line_hashes(keyed, "text", ["row", "id", "host"]).where("key_chars > 0")
-    lines = lines.groupBy("row", "id", "host", *KEY).agg(F.sum("key_chars").alias("chars"))
-    hosts = keyed.select("host", "row", "id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    lines = line_hashes(keyed, "text", ["row", "id", "host"]).where("key_chars > 0").withColumn("line", F.xxhash64("host", *KEY))
+    often = cut(lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= line_docs).select("line"))
+    often = F.broadcast(often) if often.count() <= sent else often.hint("merge")
+    lines = cut(lines.join(often, "line", "left_semi").groupBy("row", "id", "host", *KEY).agg(F.sum("key_chars").alias("chars")))
+    # equal rows gave their lines several times over
+    own = cut(keyed.groupBy("row", "id", "host").agg(F.count("*").alias("times")))
+    hosts = own.groupBy("host").agg(F.count("*").alias("host_docs"))
     found = lines.groupBy("host", *KEY).agg(F.count("*").alias("n")).where(F.col("n") >= line_docs)
-    common = found.join(hosts, "host").where(F.col("n") >= F.least(F.col("host_docs") * line_share, F.lit(line_most))).select("host", *KEY, F.lit(True).alias("common"))
-    met = lines.join(common, ["host", *KEY], "left")
-    return met.groupBy("row", "id").agg(
-        F.sum("chars").alias("line_chars"), F.coalesce(F.sum(F.when(F.col("common"), F.col("chars"))), F.lit(0)).alias("common_chars")
-    )
+    common = found.join(hosts, "host").where(F.col("n") >= F.least(F.col("host_docs") * line_share, F.lit(line_most))).select("host", *KEY)
+    lost = lines.join(common, ["host", *KEY], "left_semi").groupBy("row", "id", "host").agg(F.sum("chars").alias("chars"))
+    times = own.where("times > 1").select(F.col("row").alias("row2"), F.col("id").alias("id2"), F.col("host").alias("host2"), "times")
+    same = (F.col("row") == F.col("row2")) & F.col("id").eqNullSafe(F.col("id2")) & (F.col("host") == F.col("host2"))
+    return lost.join(times, same, "left").select("row", "id", "host", F.expr("chars div coalesce(times, 1)").alias("common_chars"))
 
 
 def quality(
@@ -118,11 +132,14 @@ def quality(
     document, and each gets the result.
     """
     text = F.coalesce(text_col, F.lit(""))
+    line_chars = F.aggregate(F.split(text, "\n"), F.lit(0).cast("long"), lambda total, x: total + F.char_length(F.btrim(x, F.lit(SPACES))))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), *(c.alias(k) for k, c in base_statistics(text).items())
-    )
+        F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), F.coalesce(host_col, F.lit("")).alias("host"),
+        *(c.alias(k) for k, c in base_statistics(text).items()), line_chars.alias("line_chars"),
+    )
     lost = line_depletion(docs, id_col, text_col, host_col, line_docs, line_share)
-    joined = rows.join(lost, (rows["row"] == lost["row"]) & rows["doc_id"].eqNullSafe(lost["id"]), "left").drop("row", "id")
+    same = (rows["row"] == lost["row"]) & rows["doc_id"].eqNullSafe(lost["id"]) & (rows["host"] == lost["host"])
+    joined = rows.join(lost, same, "left").drop("row", "id", "host")
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATS)
     left = F.col("line_chars") - F.col("common_chars")
     depleted = (F.col("common_chars") > 0) & ((left < F.col("line_chars") * least_left) | (left < least_chars))

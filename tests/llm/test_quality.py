@@ -73,3 +73,34 @@ def test_a_template_of_a_very_large_host(spark):
     host = spark.range(60_000).select("id", F.when(F.col("id") < 150, F.concat(F.lit(template), F.lit("\nown "), F.col("id"))).otherwise(words).alias("text"), F.lit("big").alias("source"))
     got = {r.doc_id: r.kept for r in quality.quality(host.withColumnRenamed("id", "doc_id")).where("doc_id < 300").collect()}
     assert not any(got[i] for i in range(150)) and all(got[i] for i in range(150, 300))
+
+
+def test_hashes_that_are_too_many_to_send_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(d, t, s, 1, "r", "k") for d, t, s in rows_of()], SCHEMA).repartition(3)
+    sent, joined = (quality.line_depletion(df, "doc_id", "text", "source", sent=n).collect() for n in (1 << 20, 0))
+    assert sorted(sent, key=str) == sorted(joined, key=str) and sent
+
+
+def test_equal_rows_are_judged_as_one(spark):
+    """What two equal rows have besides common lines is not added up."""
+    shared = " ".join(f"shared{i}" for i in range(60))
+    rows = [(i, f"{shared}\n{'own' + str(i):x<150}", "h") for i in range(12)]
+    df = spark.createDataFrame([(d, t, s, 1, "r", "k") for d, t, s in [*rows, rows[0], (0, rows[0][1], "other")]], SCHEMA)
+    got = quality.quality(df, least_left=0.1).collect()
+    assert sorted((r.doc_id, r.kept) for r in got) == sorted([(i, False) for i in range(12)] + [(0, False), (0, True)])
+
+
+def test_lines_met_once_are_moved_as_one_hash(spark):
+    """Each such line is moved once, as one number, whatever the size of its text."""
+    n, lines = 4000, 25
+    text = F.concat_ws("\n", F.transform(F.sequence(F.lit(1), F.lit(lines)), lambda i: F.concat_ws(" ", F.lit("line"), F.xxhash64("doc_id", i), F.xxhash64(i, "doc_id"))))
+    df = spark.range(n).withColumnRenamed("id", "doc_id").select("doc_id", text.alias("text"), F.lit("host").alias("source"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def moved():
+        own = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(own.apply(i).shuffleWriteBytes() for i in range(own.size()))
+
+    before = moved()
+    assert quality.line_depletion(df, "doc_id", "text", "source").where("common_chars > 0").collect() == []
+    assert 0 < moved() - before < 40 * n * lines
