@@ -16,50 +16,62 @@ from foliant.llm.common import checkpoint_folder, cut, tidy
 CANDIDATES, BLOCKS, SENT = 4096, 4, 1 << 22
 #: Vectors of a task that are scored at once for a first bar, and rounds in which lists are read.
 FIRST, ROUNDS = 256, 16
+#: Queries whose sums over a block are held at once.
+TOGETHER = 512
 LARGEST = 2**63 - 1
 
 
 class Lists:
-    """The sorted lists of a block of vectors: for each component the rows by rising value."""
+    """The sorted lists of a block of vectors: for each component the rows by rising value, and the place of every row."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.vectors, self.ids = vectors, ids
-        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
-        self.values = np.take_along_axis(vectors.T, self.order, axis=1)
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.values = np.ascontiguousarray(np.take_along_axis(vectors, order, axis=0).T)
+        self.place = np.empty(vectors.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(vectors), dtype=np.int32)[:, None], axis=0)
 
 
-def scan(lists: Lists, query: np.ndarray, own: int, k: int, bar: float) -> tuple[np.ndarray, int]:
-    """Rows that may be among the ``k`` best, and how many list entries were read to know it.
+def scan(lists: Lists, queries: np.ndarray, own: np.ndarray, k: int, bars: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """For each query the rows that may be among its ``k`` best, and how many list entries were read to know it.
 
-    The query reads each list from the end that its sign favours, all lists at one pace.
-    Of every row it keeps the sum of the entries met so far and which they were. The entry
-    last read bounds what the others of its list can add, and the far end what they add at
-    least. A row goes when its upper bound is below the bar: ``bar``, or the k-th best lower
-    bound. As long as a row that was never met could reach the bar, nothing can be told;
-    reading stops when what is left is cheaper to score than the next round is to read.
+    A query reads each list from the end that its sign favours, all lists at one pace. Of
+    every row it adds the entries met so far; for the others the entry last read bounds what
+    they can add, and the far end what they add at least. A row goes when its upper bound is
+    below the bar: that of ``bars``, or the k-th best lower bound. As long as a row that was
+    never met could reach the bar, nothing can be told; reading stops when what is left is
+    cheaper to score than the next round is to read. Queries at one depth are added up together.
     """
     n, width = lists.vectors.shape
     step = max(1, -(-n // ROUNDS))
-    down = query > 0
-    order = np.where(down[:, None], lists.order[:, ::-1], lists.order)
-    gains = np.where(down[:, None], lists.values[:, ::-1], lists.values) * query[:, None]
-    least = gains[:, -1]
-    total, met = np.zeros(n), np.zeros((n, width))
-    for at in range(0, n, step):
-        rows, gain = order[:, at : at + step], gains[:, at : at + step]
-        total += np.bincount(rows.ravel(), gain.ravel(), n)
-        met[rows, np.arange(width)[:, None]] = 1.0
-        last = gain[:, -1]
-        if at + step >= n or (last.sum() >= bar and at + step < n // 2):
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    bars = bars.copy()
+    found = [(np.arange(n), n * width)] * len(queries)
+    going = np.arange(len(queries))
+    for depth in range(step, n, step):
+        # the entries last read from the upper and the lower ends
+        high, low = lists.values[:, n - depth], lists.values[:, depth - 1]
+        never = up[going] @ high + down[going] @ low
+        at = going if depth >= n // 2 else going[never < bars[going]]
+        if not len(at):
             continue
-        lower = total + (least.sum() - met @ least)
-        lower[lists.ids == own] = -np.inf
+        # by row and list what was met from either end, and a bound of the rest: first at most, then at least
+        above, below = lists.place >= n - depth, lists.place < depth
+        most = np.where(above, lists.vectors, high) @ up[at].T
+        most += np.where(below, lists.vectors, low) @ down[at].T
         if n > k:
-            bar = max(bar, -np.partition(-lower, k - 1)[k - 1])
-        left = np.flatnonzero(total + (last.sum() - met @ last) >= bar)
-        if len(left) <= max(step, 2 * k):
-            return left, (at + step + len(left)) * width
-    return np.arange(n), n * width
+            least = np.where(above, lists.vectors, lists.values[:, 0]) @ up[at].T
+            least += np.where(below, lists.vectors, lists.values[:, -1]) @ down[at].T
+            least[lists.ids[:, None] == own[at]] = -np.inf
+            bars[at] = np.maximum(bars[at], np.partition(least, n - k, axis=0)[n - k])
+        near = most >= bars[at]
+        many = near.sum(axis=0)
+        for i in np.flatnonzero(many <= max(step, 2 * k)).tolist():
+            found[at[i]] = np.flatnonzero(near[:, i]), (depth + int(many[i])) * width
+        going = np.setdiff1d(going, at[many <= max(step, 2 * k)])
+        if not len(going):
+            break
+    return found
 
 
 def best(found: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
@@ -69,28 +81,30 @@ def best(found: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
 
 def answer(lists: Lists, queries: np.ndarray, query_ids: np.ndarray, held: list[list[tuple[int, int]]], k: int, exact: bool) -> int:
     """Add a block to what each query holds: its k best (score, id); the number of entries read."""
-    read = 0
-    for q, (query, own) in enumerate(zip(queries, query_ids.tolist(), strict=True)):
-        bar = held[q][k - 1][0] if len(held[q]) == k else -math.inf
-        n = len(lists.ids)
-        if exact and math.isinf(bar) and n > 2 * FIRST:
-            some = np.arange(FIRST)[lists.ids[:FIRST] != own]
-            read += FIRST * len(query)
-            if len(some) >= k:
-                bar = float(-np.partition(-(lists.vectors[some] @ query), k - 1)[k - 1])
-        rows, more = scan(lists, query, own, k, bar) if exact else (np.arange(n), n * len(query))
-        read += more
-        rows = rows[lists.ids[rows] != own]
-        if exact:
-            score = lists.vectors[rows] @ query
-            near = score >= bar
-            if near.sum() > 8 * k:
-                near &= score >= -np.partition(-score, k - 1)[k - 1]
-            found = zip(score[near].astype(np.int64).tolist(), lists.ids[rows[near]].tolist(), strict=True)
-        else:
-            whole = query.tolist()
-            found = ((sum(a * b for a, b in zip(whole, v, strict=True)), i) for v, i in zip(lists.vectors[rows].tolist(), lists.ids[rows].tolist(), strict=True))
-        held[q] = best([*held[q], *found], k)
+    read, n = 0, len(lists.ids)
+    for at in range(0, len(queries), TOGETHER):
+        asked, ids = queries[at : at + TOGETHER], query_ids[at : at + TOGETHER]
+        bars = np.array([held[q][k - 1][0] if len(held[q]) == k else -math.inf for q in range(at, at + len(ids))], float)
+        if exact and n > 2 * FIRST and np.isinf(bars).any():
+            read += FIRST * lists.vectors.shape[1] * int(np.isinf(bars).sum())
+            first = lists.vectors[:FIRST] @ asked.T
+            first[lists.ids[:FIRST, None] == ids] = -np.inf
+            if FIRST > k:
+                bars = np.maximum(bars, np.partition(first, FIRST - k, axis=0)[FIRST - k])
+        left = scan(lists, asked, ids, k, bars) if exact else [(np.arange(n), n * asked.shape[1])] * len(ids)
+        for q, (rows, more) in enumerate(left):
+            read += more
+            rows = rows[lists.ids[rows] != ids[q]]
+            if exact:
+                score = (lists.vectors if len(rows) == n else lists.vectors[rows]) @ asked[q]
+                near = score >= bars[q]
+                if near.sum() > 8 * k:
+                    near &= score >= -np.partition(-score, k - 1)[k - 1]
+                new = zip(score[near].astype(np.int64).tolist(), lists.ids[rows[near]].tolist(), strict=True)
+            else:
+                whole = asked[q].tolist()
+                new = ((sum(a * b for a, b in zip(whole, v, strict=True)), i) for v, i in zip(lists.vectors[rows].tolist(), lists.ids[rows].tolist(), strict=True))
+            held[at + q] = best([*held[at + q], *new], k)
     return read
 
 

@@ -102,3 +102,28 @@ def test_components_beyond_doubles(spark):
     rows = [(0, [1e308, 1.0]), (1, [1e308, 1.0]), (2, [-1e308, 1.0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (2, -(2**63))]
+
+
+def test_queries_of_a_block_are_added_up_together(monkeypatch):
+    """Many queries at once cost much less than one by one, read as much, and hold the same."""
+    import time
+
+    rng = np.random.default_rng(9)
+    vectors, ids = np.floor(rng.normal(0, 40, (3000, 48))), np.arange(3000)
+    lists, queries = topk.Lists(vectors, ids), np.arange(0, 3000, 20)
+
+    def run(step):
+        begun = time.process_time()
+        held, read = [[] for _ in queries], 0
+        for at in range(0, len(queries), step):
+            own = held[at : at + step]
+            some = queries[at : at + step]
+            read += topk.answer(lists, vectors[some], ids[some], own, 5, True)
+            held[at : at + step] = own
+        return time.process_time() - begun, held, read
+
+    together, one_by_one = run(len(queries)), run(1)
+    assert together[1:] == one_by_one[1:]
+    assert together[0] < 0.5 * one_by_one[0]
+    monkeypatch.setattr(topk, "TOGETHER", 7)
+    assert run(len(queries))[1:] == together[1:]
